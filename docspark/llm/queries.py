@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm.decontaminate import op5_decontaminate
+from docspark.llm.packing import op4_packing
 from docspark.llm.simhash import op1_simhash
 from docspark.llm.substrings import op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
 }
