@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from docspark.llm.decontaminate import op5_decontaminate
 from docspark.llm.huffman import op3_token_files
 from docspark.llm.packing import op4_packing
+from docspark.llm.sharding import op2_sharding
 from docspark.llm.simhash import op1_simhash
 from docspark.llm.substrings import op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
