@@ -12,6 +12,7 @@ from docspark.llm.packing import op4_packing
 from docspark.llm.sharding import op2_sharding
 from docspark.llm.simhash import op1_simhash
 from docspark.llm.substrings import op6_substring_dedup
+from docspark.llm.toxicity import op7_toxicity
 from docspark.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_warc": op9_warc,
 }
 
