@@ -52,8 +52,8 @@ GRAM = 8
 PLACES = WINDOW - GRAM + 1
 #: Different units of one anchor beyond which its windows are dealt one by one.
 HOT = 4096
-SCAN_BYTES = 16 << 20
-SHARD_WORDS = 1 << 20
+SCAN_BYTES = 5 << 20
+SHARD_WORDS = 1 << 19
 UNITS_A_PARTITION = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +78,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def units_of(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Document number, first window, windows, anchor and content hash of each unit."""
-    if len(_HASHES) > 300_000:
+    if len(_HASHES) > 150_000:
         _HASHES.clear()
     words = [t.split() if t else [] for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
@@ -222,7 +222,7 @@ def _signed(h: int) -> int:
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the asked-for units. Rows without words are repeats found on the way."""
     for whole in batches:
-        for batch in chunks([whole], "__z", SCAN_BYTES >> 2):
+        for batch in chunks([whole], "__z", SCAN_BYTES >> 1):
             out: list[tuple] = []
             firsts: dict[int, tuple] = {}
             for doc_id, z, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("__z").to_pylist(), batch.column("__wanted").to_pylist(), strict=True):
