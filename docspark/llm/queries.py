@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docspark.llm.decontaminate import op5_decontaminate
 from docspark.llm.huffman import op3_token_files
 from docspark.llm.language import op8_language
+from docspark.llm.media import op10_media_copies
 from docspark.llm.packing import op4_packing
 from docspark.llm.sharding import op2_sharding
 from docspark.llm.simhash import op1_simhash
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
+    "op10_media_copies": op10_media_copies,
 }
 
 ORACLE_SQL: dict[str, str] = {}
