@@ -222,6 +222,16 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its component, and those without doc_id.
+
+    Only what is dropped, rows of a number and no text, is joined to the texts.
+    """
+    known = near_duplicates(docs).where("doc_id IS NOT NULL")
+    gone = staged(known.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
