@@ -1,27 +1,58 @@
-"""A corpus pipeline of the subpackage llm: each stage reads what its predecessor kept."""
+"""A corpus pipeline of the subpackage llm: each stage reads what its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``docs``. Nulls, empty and very long texts, repeated rows
+and empty tables have the results that the docstrings of the operators state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontaminate
+from docspark.llm import decontaminate, packing, simhash, substrings, toxicity
 from docspark.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+TOKENIZER = "word_bpe_49k.json"
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score THRESHOLD or more; learned from all labels of documents that are here."""
+    return toxicity.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints, the document with the least doc_id."""
+    return simhash.kept(docs)
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of the benchmark out of the texts; all documents stay."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of twenty words that occur earlier; all documents stay."""
+    return substrings.dedup(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of the benchmark; all documents stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.digests(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("benchmark decontamination", benchmark_decontamination),
+    ("toxicity", toxic_documents),
+    ("simhash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed_sequences),
 ]
 
-#: No stage can be written in SQL, so the tests hold run() against brute force.
+#: SQL can express neither the model of the first stage nor the hashes of the second; tests hold run() to brute force.
 ORACLE_SQL = None
 
 
