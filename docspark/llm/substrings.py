@@ -52,7 +52,7 @@ GRAM = 8
 PLACES = WINDOW - GRAM + 1
 #: Different units of one anchor beyond which its windows are dealt one by one.
 HOT = 4096
-SCAN_BYTES = 5 << 20
+SCAN_BYTES = 5 << 19
 SHARD_WORDS = 1 << 19
 UNITS_A_PARTITION = 400_000
 
@@ -222,7 +222,7 @@ def _signed(h: int) -> int:
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the asked-for units. Rows without words are repeats found on the way."""
     for whole in batches:
-        for batch in chunks([whole], "__z", SCAN_BYTES >> 1):
+        for batch in chunks([whole], "__z", SCAN_BYTES):
             out: list[tuple] = []
             firsts: dict[int, tuple] = {}
             for doc_id, z, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("__z").to_pylist(), batch.column("__wanted").to_pylist(), strict=True):
@@ -369,7 +369,7 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     n_asked = asked.count()
     wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "route", "hot")).alias("__wanted"))
     spans = _packed_texts(docs, "text", "doc_id").join(wanted, "doc_id").mapInArrow(_texts, SPANS)
-    shards = max(8, n_asked // 100_000)
+    shards = max(12, n_asked // 40_000)
     matched = spans.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(_match, INTERVALS)
     return settled.where("route IS NULL").select("doc_id", "start", "n").unionByName(matched)
 
