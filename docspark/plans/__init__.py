@@ -1,0 +1 @@
+"""Queries over the test tables, and the views that shape those tables."""

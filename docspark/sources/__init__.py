@@ -1,0 +1 @@
+"""Readers of images, labels and settings."""
