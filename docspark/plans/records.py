@@ -13,6 +13,7 @@ from docspark.plans.adapters import table, view
 from docspark.plans.queries import as_of, q_address, q_dob, q_name, q_nid, q_norm, q_num, q_pnid, q_serial, q_west, q_words, r, v
 from docspark.sinks import batch_map, dataset_split, sink_projection
 from docspark.sources import labels, uploads
+from docspark.vision import frames
 
 QUERIES: dict[str, base.Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -151,6 +152,26 @@ def valley(spark: SparkSession, d: str) -> DataFrame:
     return signals.valley(_pixels(spark, d), 64)
 
 
+@query("order_corners")
+def order_corners(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    corners = F.array(k % 7 + 100.0, size + 0.0, k % 11 + 0.0, size + 80.0, k % 5 + 0.0, size % 3 + 0.0, k % 13 + 90.0, size + 70.0)
+    return frames.ordered_corners(table(spark, d, "part").select(k.cast("long").alias("rec"), corners.alias("corners")))
+
+
+@query("vision_quality")
+def vision_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality, side and scale of drawn cards; unreadable ones are rows with an error."""
+    out = frames.assessed(frames.drawn(table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"))))
+    return out.select("path", "error", "width", "height", r("brightness", 3).alias("brightness"), "issues", "status", F.col("side.side").alias("side"))
+
+
+@query("vision_localize")
+def vision_localize(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of drawn cards, found by their print and parted from one another."""
+    return frames.localized(frames.drawn(table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"))))
+
+
 # --- dimensions -----------------------------------------------------------------------------------
 
 _FIELDS_SQL = dims.values_sql([(t, side, i, f[0], f[5], f[6]) for t, side, fields in dims.TEMPLATES for i, f in enumerate(fields)], "template_id, side, ord, field, field_type, required")

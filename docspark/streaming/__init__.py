@@ -1,0 +1 @@
+"""Folders read as streams (beyond what batch queries need)."""
