@@ -39,10 +39,10 @@ from docspark.llm.tokens import encoder
 
 END = 2
 LIMIT = 18
-BLOCK = 1024
+BLOCK = 512
 FILE_TOKENS = 1 << 22
-#: Ids that are coded or decoded at once.
-STRETCH = 1 << 20
+#: Ids that are coded at once (so that all steps stay in a core's cache), and decoded at once.
+CODED, DECODED = 1 << 17, 1 << 20
 MAGIC = b"HUFT"
 
 
@@ -144,12 +144,12 @@ def file_parts(documents: Iterable[tuple[int | None, np.ndarray]], code: Code, t
         sizes.append(len(ids))
         held.append(ids)
         waiting += len(ids)
-        while waiting >= STRETCH:
+        while waiting >= CODED:
             whole = np.concatenate(held)
-            raw, at = code.encode(whole[:STRETCH])
+            raw, at = code.encode(whole[:CODED])
             points.append(at + bits)
             bits += 8 * len(raw)
-            held, waiting = [whole[STRETCH:]], waiting - STRETCH
+            held, waiting = [whole[CODED:]], waiting - CODED
             yield raw
     if waiting:
         raw, at = code.encode(np.concatenate(held))
@@ -196,7 +196,7 @@ class Reader:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start in this file and ids of each document in turn."""
-        held, base, block, step = np.zeros(0, np.uint32), 0, 0, STRETCH // BLOCK
+        held, base, block, step = np.zeros(0, np.uint32), 0, 0, DECODED // BLOCK
         for known, doc_id, start, size in zip(self.known.tolist(), self.doc_ids.tolist(), self.starts.tolist(), self.sizes.tolist(), strict=True):
             parts = [held]
             have = base + len(held)
@@ -212,18 +212,25 @@ class Reader:
 
 def _tokenized(path: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, press = encoder(path).ids, zstandard.ZstdCompressor(3)
-        for batch in batches:
-            raw = [np.append(np.frombuffer(ids(t), "<u4"), np.uint32(end)) for t in utf8(batch.column("text"))]
-            narrow = [press.compress(x.astype("<u2").tobytes() if not (x >> 16).any() else b"w" + x.astype("<u4").tobytes()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(narrow, pa.binary())], names=["doc_id", "ids"])
+        ids, press, last = encoder(path).ids, zstandard.ZstdCompressor(1), end.to_bytes(4, "little")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                packed = [press.compress(_narrow(ids(t) + last)) for t in utf8(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
+def _narrow(raw: bytes) -> bytes:
+    """16 bits an id where that is enough; else 32 bits behind one byte."""
+    ids = np.frombuffer(raw, "<u4")
+    return ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"w" + raw
+
+
 def _wide(blob: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    return np.frombuffer(raw, "<u2").astype(np.int64) if len(raw) % 2 == 0 else np.frombuffer(raw, "<u4", offset=1).astype(np.int64)
+    return np.frombuffer(raw, "<u2") if len(raw) % 2 == 0 else np.frombuffer(raw, "<u4", offset=1)
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

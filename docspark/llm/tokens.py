@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 from tokenizers import Tokenizer
 
-#: Words a worker remembers before it starts anew.
-MEMO = 700_000
+#: Words a worker remembers of late, and as many from before.
+MEMO = 250_000
 
+_STOP = re.compile(rb"(?<=[0-9A-Za-z])(?=[.,][ \n])")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin-1 letters as the byte-level alphabet writes their two UTF-8 bytes.
 _BYTES = {c: "".join(chr(b) if b > 160 and b != 173 else chr(323 if b == 173 else 162 + b) for b in chr(c).encode()) for c in range(0xA1, 0x100)}
@@ -32,6 +35,7 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
         self.direct = all(self._direct(w) == self._encoded(w) for w in _PROBES)
 
     def _encoded(self, word: str) -> list[int]:
@@ -41,22 +45,31 @@ class Encoder(dict):
         return [t.id for t in self.model.tokenize(word.lower().translate(_BYTES))]
 
     def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(_MARKS)
-        if stem and len(stem) < len(word) and b"<|" not in word and (stem[-1:].isalnum() or stem.decode()[-1].lower().isalpha()):
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            text = word.decode()
-            found = self._direct(text) if self.direct and text.isalpha() and max(text) < "Ā" else self._encoded(text)
-            ids = b"".join(i.to_bytes(4, "little") for i in found)
+        ids = self.before.get(word)
+        if ids is None:
+            if self.direct and word.isalpha():  # of bytes: ASCII letters
+                ids = array("I", [t.id for t in self.model.tokenize(word.decode().lower())]).tobytes()
+            else:
+                ids = self._new(word)
         self[word] = ids
         return ids
 
+    def _new(self, word: bytes) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem and len(stem) < len(word) and b"<|" not in word and (stem[-1:].isalnum() or stem.decode()[-1].lower().isalpha()):
+            return self[stem] + self[word[len(stem) :]]
+        text = word.decode()
+        found = self._direct(text) if self.direct and text.isalpha() and max(text) < "Ā" else self._encoded(text)
+        return array("I", found).tobytes()
+
     def ids(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if len(self) > MEMO:
+            self.before = dict(self)
             self.clear()
-        words = (text.lower() if text.isascii() else text).split()
+        # a single full stop or comma behind a letter is a word of its own; set apart, it multiplies no entries
+        words = _STOP.sub(b" ", text.lower() if text.isascii() else text).split()
         return b"".join(map(self.__getitem__, words))
 
 
