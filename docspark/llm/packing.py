@@ -30,7 +30,7 @@ from docspark.llm.tokens import encoder
 
 SIZE = 2048
 END = 1
-BUCKET = 20_000
+BUCKET = 2_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
