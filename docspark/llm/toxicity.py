@@ -37,7 +37,7 @@ from docspark.llm.common import chunks, documents, staged, table, utf8
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 9000
 #: Words and beginnings of words considered for the learned lexicon, and kept in it, at most.
-CANDIDATES, LEXICON = 20_000, 600
+CANDIDATES, LEXICON = 30_000, 4000
 FOLDS = 3
 THRESHOLD = 0.7
 CHUNK_BYTES = 8 << 20
@@ -199,6 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
         marks = marks.where(use)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = documents(docs, "text").join(F.broadcast(marks), "doc_id").select("text", "toxic", fold_of(F.col("doc_id"), FOLDS).alias("fold"))
+    # copies would fill the lexicon with their own words: of equal texts, one is learned from
+    sample = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min(F.struct("toxic", "fold", "text")).alias("x")).select("x.*")
     sample = staged(sample, "toxicity-sample")
     sizes = np.zeros((2, FOLDS))
     for r in sample.groupBy("toxic", "fold").count().collect():
