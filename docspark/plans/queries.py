@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspark import dims
 from docspark.functions import geometry, nid, parse, text, verify
-from docspark.operators import candidates, detections, record, review, signals
+from docspark.operators import candidates, detections, signals
 from docspark.plans.adapters import table, view, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
