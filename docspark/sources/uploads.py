@@ -29,3 +29,9 @@ def gate(mime: Column, size: Column) -> Column:
     """415 for a kind that is not taken, 400 for no bytes, 413 for too many, else 200."""
     kind = F.coalesce(mime.isin(list(dims.UPLOAD_TYPES)), F.lit(False))
     return F.when(~kind, 415).when(F.coalesce(size, F.lit(0)) == 0, 400).when(size > dims.MAX_UPLOAD_BYTES, 413).otherwise(200)
+
+
+def newest(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The file of a pattern that was changed last (weights of a model, say)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(1)
