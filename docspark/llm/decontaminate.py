@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import chunks, documents, table, utf8
+from docspark.llm.common import chunks, documents, in_arrow, table, utf8
 from docspark.llm.fmindex import FMIndex, ranges
 
 WINDOW = 10
@@ -116,7 +116,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str
     rows = documents(docs, F.col(text).alias("text"))
     rows = rows.selectExpr("*", "0L AS n_words", "CAST(array() AS array<struct<start:long,end:long>>) AS spans", "CAST(array() AS array<long>) AS items")
     for block in benchmark_blocks(benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))):
-        rows = rows.mapInArrow(_finder(Phrases(block, window)), f"{FOUND}, text string")
+        rows = rows.transform(in_arrow, _finder(Phrases(block, window)), f"{FOUND}, text string")
     return rows.select("doc_id", "n_words", "spans", "items")
 
 
@@ -180,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     searched again after a cut, as joining its two sides may form a window.
     """
     for block in benchmark_blocks(benchmark.select(F.col("item_id").cast("long"), "text")):
-        docs = docs.mapInArrow(_cleaner(Phrases(block, window), docs.columns), docs.schema)
+        docs = docs.transform(in_arrow, _cleaner(Phrases(block, window), docs.columns), docs.schema)
     return docs
 
 

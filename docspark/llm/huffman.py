@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, open_file, put_file, scratch, staged, table, utf8
+from docspark.llm.common import documents, in_arrow, open_file, put_file, scratch, staged, table, utf8
 from docspark.llm.tokens import encoder
 
 END = 2
@@ -275,14 +275,14 @@ def _written(lengths: np.ndarray, folder: str):
 
 def write(docs: DataFrame, folder: str, path: str, end: int = END, text: str = "text") -> DataFrame:
     """Files of all texts' ids in ``folder``; returns file, tokens, documents and bytes of each."""
-    tokens = staged(documents(docs, F.col(text).alias("text")).mapInArrow(_tokenized(path, end), "doc_id long, ids binary"), "tokens")
-    counted = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tokens = staged(documents(docs, F.col(text).alias("text")).transform(in_arrow, _tokenized(path, end), "doc_id long, ids binary"), "tokens")
+    counted = tokens.select("ids").transform(in_arrow, _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     files = max(1, int(counts.sum()) // FILE_TOKENS)
     ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return staged(ordered.mapInArrow(_written(code_lengths(counts), folder), WRITTEN), "manifest")
+    return staged(ordered.transform(in_arrow, _written(code_lengths(counts), folder), WRITTEN), "manifest")
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     before = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.huf").load(folder).select("path")
-    return files.mapInArrow(_read, "file string, doc_id long, at long, ids binary").join(offsets, "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "ids")
+    return files.transform(in_arrow, _read, "file string, doc_id long, at long, ids binary").join(offsets, "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "ids")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, staged, table, utf8
+from docspark.llm.common import documents, in_arrow, staged, table, utf8
 
 SAMPLE = 2500
 BUCKETS = 1 << 15
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, use: Column | None = None) -> Model:
     ids = ids.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     ids = ids.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0)
     texts = documents(docs, "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "held")).alias("x"))
-    rows = staged(texts.select("x.*").mapInArrow(_counted, "lang string, held boolean, buckets binary, shares binary"), "language-sample").collect()
+    rows = staged(texts.select("x.*").transform(in_arrow, _counted, "lang string, held boolean, buckets binary, shares binary"), "language-sample").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["buckets"], r["shares"]))  # the same model however the rows come
     languages = sorted({r["lang"] for r in rows})
     if not languages:
@@ -174,7 +174,7 @@ def _predicted(model: Model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row."""
-    return documents(docs, "text").mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return documents(docs, "text").transform(in_arrow, _predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

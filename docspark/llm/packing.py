@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, staged, table, utf8
+from docspark.llm.common import documents, in_arrow, staged, table, utf8
 from docspark.llm.tokens import encoder
 
 SIZE = 2048
@@ -55,7 +55,7 @@ def _pieces(path: str, end: int, size: int):
 
 def pieces(docs: DataFrame, path: str, end: int = END, size: int = SIZE, text: str = "text") -> DataFrame:
     """A row for each piece, with its ids as little-endian unsigned 32-bit integers; nothing is shuffled."""
-    return documents(docs, F.col(text).alias("text")).mapInArrow(_pieces(path, end, size), PIECES)
+    return documents(docs, F.col(text).alias("text")).transform(in_arrow, _pieces(path, end, size), PIECES)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
@@ -122,7 +122,7 @@ def assign(found: DataFrame, size: int = SIZE) -> DataFrame:
     columns = found.columns
     ranked = ranked.select(*columns, "__rank")
     schema = ", ".join(f"`{n}` {t}" for n, t in found.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_seated(places(plan(counts, size)), columns), schema)
+    return ranked.transform(in_arrow, _seated(places(plan(counts, size)), columns), schema)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = 0) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import chunks, documents, staged, table, text_bytes, utf8
+from docspark.llm.common import chunks, documents, in_arrow, staged, table, text_bytes, utf8
 from docspark.llm.fmindex import FMIndex, ranges
 
 WINDOW = 20
@@ -171,6 +171,7 @@ def _scan(parts: int):
             rows += _packed(np.sort(place), True, tuple(x[gone] for x in columns))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DEALT.types, strict=True)], schema=_DEALT)
+        _HASHES.clear()
 
     return run
 
@@ -327,7 +328,7 @@ def _packed_texts(docs: DataFrame, text: str, *others: str) -> DataFrame:
     """The columns named and the text, compressed for the shuffle."""
     kept = docs.select(*others, F.col(text).alias("__text"))
     schema = T.StructType([*kept.drop("__text").schema.fields, T.StructField("__z", T.BinaryType())])
-    return kept.mapInArrow(_zipped(list(others)), schema)
+    return kept.transform(in_arrow, _zipped(list(others)), schema)
 
 
 def _cut(columns: list[str], names: list[str], text: str, plain: bool):
@@ -363,14 +364,14 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = documents(docs, F.col(text).alias("text")).where("doc_id IS NOT NULL")
     size = text_bytes(docs)
     parts = max(8, size // (42 * UNITS_A_PARTITION))
-    dealt = docs.mapInArrow(_scan(parts), "part int, later boolean, units binary")
-    settled = staged(dealt.repartition(parts, "part").mapInArrow(_settle, SETTLED), "settled")
+    dealt = docs.transform(in_arrow, _scan(parts), "part int, later boolean, units binary")
+    settled = staged(dealt.repartition(parts, "part").transform(in_arrow, _settle, SETTLED), "settled")
     asked = settled.where("route IS NOT NULL")
     n_asked = asked.count()
     wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "route", "hot")).alias("__wanted"))
-    spans = _packed_texts(docs, "text", "doc_id").join(wanted, "doc_id").mapInArrow(_texts, SPANS)
+    spans = _packed_texts(docs, "text", "doc_id").join(wanted, "doc_id").transform(in_arrow, _texts, SPANS)
     shards = max(12, n_asked // 40_000)
-    matched = spans.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(_match, INTERVALS)
+    matched = spans.repartition(shards, "route").sortWithinPartitions("route").transform(in_arrow, _match, INTERVALS)
     return settled.where("route IS NULL").select("doc_id", "start", "n").unionByName(matched)
 
 
@@ -388,7 +389,7 @@ def dedup(docs: DataFrame, text: str = "text", plain: bool = False, counts: tupl
     joined = joined.join(spans, joined["doc_id"] == spans["__doc"], "left").drop("__doc")
     names = [*columns, "__words", "__removed"]
     schema = T.StructType([*docs.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType())])
-    out = joined.mapInArrow(_cut(columns, names, text, plain), schema)
+    out = joined.transform(in_arrow, _cut(columns, names, text, plain), schema)
     return out.withColumnsRenamed({"__words": counts[0], "__removed": counts[1]}) if counts else out.drop("__words", "__removed")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.boosting import Isotonic, Trees
-from docspark.llm.common import chunks, documents, staged, table, utf8
+from docspark.llm.common import chunks, documents, in_arrow, staged, table, utf8
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 9000
@@ -207,15 +207,15 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
         sizes[r["toxic"], r["fold"]] = r["count"]
     if not sizes.sum(axis=1).all():
         return Model({}, None, None, float(sizes[1].sum() / max(1, sizes.sum())))
-    wanted = sample.where("toxic = 1").mapInArrow(_candidates, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    wanted = sample.where("toxic = 1").transform(in_arrow, _candidates, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     names = [r["token"] for r in wanted.where("n >= 3").orderBy(F.desc("n"), "token").limit(CANDIDATES).collect()]
     counts = np.zeros((2, FOLDS, len(names)))
     index = {t: k for k, t in enumerate(names)}
-    for r in sample.mapInArrow(_counts(names), "token string, toxic int, fold int, n long").groupBy("token", "toxic", "fold").agg(F.sum("n").alias("n")).collect():
+    for r in sample.transform(in_arrow, _counts(names), "token string, toxic int, fold int, n long").groupBy("token", "toxic", "fold").agg(F.sum("n").alias("n")).collect():
         counts[r["toxic"], r["fold"], index[r["token"]]] = r["n"]
     others = [[g for g in range(FOLDS) if g != f] for f in range(FOLDS)]
     lexicons = [lexicon_of(counts[:, o].sum(axis=1), sizes[:, o].sum(axis=1), names) for o in others]
-    rows = sample.mapInArrow(_featured(lexicons), "toxic int, fold int, x array<double>").collect()
+    rows = sample.transform(in_arrow, _featured(lexicons), "toxic int, fold int, x array<double>").collect()
     x = np.array([r["x"] for r in rows])
     y, fold = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] for r in rows])
     order = np.lexsort((*x.T, y, fold))  # the same model however the rows come
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model, *columns: str, text: str = "text") -> D
     """The columns named (all, if none is) and __score of each row, where the text is read."""
     columns = list(columns or docs.columns)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + ", __score double"
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(_scored(model, columns, text), schema)
+    return docs.select(*dict.fromkeys([*columns, text])).transform(in_arrow, _scored(model, columns, text), schema)
 
 
 def remainder(divisor: int) -> Column:

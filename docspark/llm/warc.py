@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import chunks, open_file, put_file, scratch, staged, table, utf8
+from docspark.llm.common import chunks, in_arrow, open_file, put_file, scratch, staged, table, utf8
 
 #: Bytes of payload after which the next archive of a task begins.
 ARCHIVE_BYTES = 64 << 20
@@ -137,7 +137,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     groups = staged(groups.select("sha", "last"), "payloads")
     of = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     rows = pages.join(groups, "sha", "left").select("page_id", "url", "html", of.alias("of"))
-    return staged(rows.mapInArrow(_write(folder), "file string, records long"), "archives")
+    return staged(rows.transform(in_arrow, _write(folder), "file string, records long"), "archives")
 
 
 def normalised(source: str, target: str) -> int:
@@ -171,7 +171,7 @@ def _normalise(target: str):
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Every archive of ``source`` with a member for each record in ``target``; returns file and records."""
-    return staged(_paths(spark, source, "*.warc.gz").mapInArrow(_normalise(target), "file string, records long"), "normalised")
+    return staged(_paths(spark, source, "*.warc.gz").transform(in_arrow, _normalise(target), "file string, records long"), "normalised")
 
 
 def _paths(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -211,7 +211,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all normalised archives, fetched by their sidecar indexes; payload is null for revisits."""
-    return _paths(spark, folder, "*.idx").mapInArrow(_read, PAGES)
+    return _paths(spark, folder, "*.idx").transform(in_arrow, _read, PAGES)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
