@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, staged, table, utf8
+from docspark.llm.common import documents, in_arrow, staged, table, utf8
 from docspark.llm.graph import components, forest
 
 SHINGLE = 4
@@ -45,6 +45,8 @@ TRIES = ((0, 2), (32, 1))
 #: Fingerprints of a subtrie that the deal aims at, and rows beyond which it is dealt again.
 AIM, MOST = 4096, 1 << 18
 DEEPER = 6
+#: Pairs of nodes that are taken down at once.
+FRONT = 1 << 16
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -72,7 +74,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a long), without a shuffle."""
-    return documents(docs, F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return documents(docs, F.col(text).alias("text")).transform(in_arrow, _fingerprints, "doc_id long, fp long")
 
 
 def masks(bits: int, budget: int) -> list[tuple[int, int]]:
@@ -159,11 +161,11 @@ def join(own: np.ndarray, other: np.ndarray, budget: int, errors: int = ERRORS,
         small = ((ah - al) * (bh - bl) <= 64) | (level == 64)
         if small.any():
             picked = [x[small] for x in front]
-            for at in range(0, len(picked[0]), 1 << 16):
-                u, v = _compared(own, right, [x[at : at + (1 << 16)] for x in picked], same, budget, errors, half)
+            for at in range(0, len(picked[0]), FRONT >> 4):
+                u, v = _compared(own, right, [x[at : at + (FRONT >> 4)] for x in picked], same, budget, errors, half)
                 us.append(u)
                 vs.append(v if same else v + n)
-            if sum(map(len, us)) > 1 << 21:
+            if sum(map(len, us)) > 1 << 19:
                 label = forest(n + len(other), np.concatenate(us), np.concatenate(vs))
                 child = np.flatnonzero(label != np.arange(len(label)))
                 us, vs = [child], [label[child]]
@@ -182,8 +184,8 @@ def join(own: np.ndarray, other: np.ndarray, budget: int, errors: int = ERRORS,
             np.concatenate([bm, bh, bh[left], bm[cross]]),
             np.concatenate([differ, differ, differ[left] + 1, differ[cross] + 1]),
         ]
-        for at in range(0, len(down[0]), 1 << 19):
-            stack.append((level + 1, same, [x[at : at + (1 << 19)] for x in down]))
+        for at in range(0, len(down[0]), FRONT):
+            stack.append((level + 1, same, [x[at : at + FRONT] for x in down]))
     return np.concatenate(us), np.concatenate(vs)
 
 
