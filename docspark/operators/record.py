@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark import dims
 from docspark.functions import nid, parse, verify
-from docspark.functions.text import either, nonempty, normalize_numeric, normalize_text
+from docspark.functions.text import either, nfkc, nonempty, normalize_numeric, normalize_text
 
 FIELDS = ["national_id", "name", "address", "date_of_birth", "serial_number", "gender", "photo"]
 
@@ -29,25 +29,32 @@ def field_status(ocr_ready: bool = True) -> Column:
     return F.struct(status.otherwise("EXTRACTED").alias("status"), issue.alias("issue"))
 
 
-def normalized_field(compatibility: bool = True) -> Column:
-    """A field's text by the parser of its kind (field, field_type, raw)."""
+def normalized_field(text: Column) -> Column:
+    """A field's text by the parser of its kind (field, field_type, raw); ``text`` is raw after compatibility normalization."""
     raw, field = F.col("raw"), F.col("field")
     return (
         F.when(field == "national_id", parse.parse_national_id(raw))
         .when(field == "date_of_birth", F.coalesce(parse.parse_dob(raw), normalize_numeric(raw)))
         .when(F.col("field_type") == "numeric", normalize_numeric(raw))
         .when(field == "serial_number", parse.parse_serial(raw))
-        .when(field == "name", parse.parse_name(raw, compatibility))
-        .when(field == "address", parse.parse_address(F.array(raw), compatibility))
-        .otherwise(normalize_text(raw, compatibility))
+        .when(field == "name", parse.parse_name(text, False))
+        .when(field == "address", parse.parse_address(F.array(text), False))
+        .otherwise(normalize_text(text, False))
     )
 
 
 def read_fields(fields: DataFrame, compatibility: bool = True) -> DataFrame:
-    """Adds status, issue and normalized; what was not read has neither text."""
+    """Adds status, issue and normalized; what was not read has neither text.
+
+    Compatibility normalization, the one step in Python, runs once a row and
+    only on texts that are prose.
+    """
     out = fields.withColumn("s", field_status()).select("*", "s.status", "s.issue").drop("s")
     read = F.col("status").isin("EXTRACTED", "LOW_CONFIDENCE")
-    return out.withColumn("raw", F.when(read, F.col("raw"))).withColumn("normalized", F.when(read & F.col("raw").isNotNull(), normalized_field(compatibility)))
+    out = out.withColumn("raw", F.when(read, F.col("raw")))
+    prose = ~F.col("field_type").isin("numeric", "text")
+    out = out.withColumn("__text", nfkc(F.when(prose, F.col("raw"))) if compatibility else F.col("raw"))
+    return out.withColumn("normalized", F.when(F.col("raw").isNotNull(), normalized_field(F.coalesce("__text", "raw")))).drop("__text")
 
 
 def pivoted(fields: DataFrame) -> DataFrame:
