@@ -42,9 +42,9 @@ SELECT doc_id AS rec, CASE WHEN doc_id % 37 = 0 THEN NULL WHEN doc_id % 41 = 0 T
   WHEN doc_id % 6 = 1 THEN '٣٤۵ ' || t || ' ش و 12'
   WHEN doc_id % 6 = 2 THEN '| ' || substr(t, 1, 50) || ' _~^* ' || substr(t, 51) || ' 2990417170011'
   WHEN doc_id % 6 = 3 THEN '   ' || substr(t, 1, 30) || '    ' || chr(9) || substr(t, 31) || '  العنوان ' || substr(t, 1, 9)
-  WHEN doc_id % 6 = 4 THEN 'جمهورية مصر العربية بطاقة تحقيق الشخصية الاسم محمدا و ' || substr(t, 1, 40) || ' خالدف'
+  WHEN doc_id % 6 = 4 THEN 'جمهورية مصر العربية بطاقة تحقيق الشخصية الاسم محمدا و ' || t || ' خالدف'
   ELSE t || ' القاهرة 29904171700111' END AS raw
-FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents) d"""
+FROM (SELECT doc_id, text AS t FROM documents) d"""
 
 VIEWS["dob_reads"] = f"""
 SELECT o_orderkey AS rec, CASE o_orderkey % 11
