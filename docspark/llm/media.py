@@ -3,13 +3,13 @@
 An image column (binary PGM or PPM, "P5" or "P6") gives each image up to
 ``CORNERS`` corners over several scales, the direction of each (towards the
 brightness around it) and 256 binary tests turned to that direction.
-Descriptors meet in Hamming tables: bands of ``BAND`` bits that agree. In a
-bucket every image meets the bucket's leader only, so a bucket costs its size,
-however many images it holds; pairs that meet in ``VOTES`` buckets are compared
-by all their descriptors, and are linked if ``INLIERS`` matches agree on one
-turn, size and shift. Linked images form classes; the representatives of the
-classes meet again under other leaders for ``ROUNDS`` rounds, which finds what
-a first leader has hidden. Images of equal bytes are one image from the start.
+Descriptors meet in Hamming tables: bands of ``BAND`` bits that agree. All
+images of a bucket meet one another: pictures are dealt into blocks of about
+``BLOCK``, and a task counts the buckets that the pictures of two blocks share,
+so neither buckets nor pairs are shuffled, whatever the size of a bucket. Pairs
+that meet in ``VOTES`` buckets are compared by all their descriptors, and are
+linked if ``INLIERS`` matches agree on one turn, size and shift. Linked images
+form classes. Images of equal bytes are one image from the start.
 
 There is no table of images among the inputs, so the query draws each vector of
 ``embeddings`` as an 8 x 8 field, smoothly enlarged; near vectors are edited
@@ -30,11 +30,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_arrow, staged, table
-from docspark.llm.graph import components
+from docspark.llm.common import in_arrow, scratch, staged, table
+from docspark.llm.fmindex import ranges
+from docspark.llm.graph import components, forest
 
 CORNERS = 40
 SCALES = (1.0, 1.5, 2.25)
@@ -42,7 +45,9 @@ PATCH = 13
 BITS, BAND, TABLES = 256, 28, 4
 #: Bits in which two descriptors of a match may differ.
 DIFFER = 64
-VOTES, INLIERS, ROUNDS = 2, 10, 3
+VOTES, INLIERS = 2, 10
+#: Pictures of a block, and tasks that the pairs of blocks are dealt to at most.
+BLOCK, TASKS = 1024, 4096
 #: Pixels (at the scale of a corner) by which a match may miss its place.
 MISS = 3.0
 
@@ -166,78 +171,139 @@ def _described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.binary()) for c in (content, places, bits))], names=["id", "content", "places", "bits"])
 
 
-def _bands():
-    """Rows (bucket, node, leader) of each image's bands.
-
-    Of the images here that share a bucket, all but one are led by that one
-    already (bucket is then a number of their own), and only that one goes on,
-    so a bucket that very many images share is never gathered whole.
-    """
+def buckets(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each picture's descriptors in order of bucket, and whose they are."""
     weight = 1 << np.arange(BAND, dtype=np.int64)
+    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, b in enumerate(bits):
+        tests = np.unpackbits(b, axis=1)
+        keys.append(np.unique((tests[:, _ORDER].astype(np.int64) @ weight) * TABLES + np.arange(TABLES)))
+        owners.append(np.full(len(keys[-1]), k, np.int64))
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    by = np.argsort(key, kind="stable")
+    return key[by], owner[by]
+
+
+def meetings(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
+    """In how many buckets each of n pictures meets each of m."""
+    votes = np.zeros(n * m, np.uint16)
+    low, high = (np.searchsorted(right[0], left[0], side=x) for x in ("left", "right"))
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(low):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+        places, which = ranges(low[at:to], high[at:to])
+        votes += np.bincount(left[1][at:to][which] * m + right[1][places], minlength=n * m).astype(np.uint16)
+        at = to
+    return votes.reshape(n, m)
+
+
+class Pictures:
+    """The pictures of a block, their descriptors padded to one shape."""
+
+    def __init__(self, rows: pa.Table):
+        self.nodes = rows.column("node").to_numpy()
+        self.places = [np.frombuffer(x, "<f4").reshape(-1, 4) for x in rows.column("places").to_pylist()]
+        self.bits = [np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in rows.column("bits").to_pylist()]
+        self.counts = np.array([len(b) for b in self.bits], np.int64)
+        most = max(1, int(self.counts.max(initial=0)))
+        self.words = np.zeros((len(self.bits), most, BITS // 64), np.uint64)
+        self.shape = np.ones((len(self.bits), most, 2))  # scale, direction
+        for k, (p, b) in enumerate(zip(self.places, self.bits, strict=True)):
+            self.words[k, : len(b)] = b.view(np.uint64)
+            self.shape[k, : len(b)] = p[:, 2:]
+
+
+def hopeful(a: Pictures, i: np.ndarray, b: Pictures, j: np.ndarray) -> np.ndarray:
+    """Which pairs have INLIERS matches that agree on turn and size: all that ``consensus`` could link, and few others."""
+    x, y = a.words[i], b.words[j]
+    distance = np.zeros((len(i), x.shape[1], y.shape[1]), np.uint16)
+    for k in range(BITS // 64):
+        distance += np.bitwise_count(x[:, :, None, k] ^ y[:, None, :, k])
+    for counts, pad in ((a.counts[i], distance), (b.counts[j], distance.transpose(0, 2, 1))):
+        if (counts < pad.shape[1]).any():
+            pad[np.arange(pad.shape[1])[None] >= counts[:, None]] = BITS + 1
+    nearest = distance.argmin(axis=2)
+    mutual = np.take_along_axis(distance.argmin(axis=1), nearest, axis=1) == np.arange(x.shape[1])
+    match = mutual & (np.take_along_axis(distance, nearest[:, :, None], axis=2)[:, :, 0] <= DIFFER)
+    some = np.flatnonzero(match.sum(axis=1) >= INLIERS)
+    p, q, match = a.shape[i[some]], np.take_along_axis(b.shape[j[some]], nearest[some][:, :, None], axis=1), match[some]
+    ratio, turn = q[:, :, 0] / p[:, :, 0], q[:, :, 1] - p[:, :, 1]
+    off = np.abs(turn[:, :, None] - turn[:, None]) % (2 * np.pi)
+    # a little wider than consensus, so that rounding loses nothing
+    agree = (np.minimum(off, 2 * np.pi - off) <= 0.5001) & (np.abs(np.log(ratio[:, :, None] / ratio[:, None])) < 0.5001) & match[:, None]
+    return some[(agree.sum(axis=2) * match).max(axis=1, initial=0) >= INLIERS]
+
+
+def linked(a: Pictures, b: Pictures, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pictures (numbers in a, in b) that meet VOTES times and that consensus links."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    right = buckets(b.bits)
+    for at in range(0, len(a.bits), 256):
+        i, j = np.nonzero(meetings(buckets(a.bits[at : at + 256]), right, len(a.bits[at : at + 256]), len(b.bits)) >= VOTES)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 64):
+            u, v = i[k : k + 64], j[k : k + 64]
+            u, v = (x[hopeful(a, u, b, v)] for x in (u, v))
+            ok = np.array([agrees(a, x, b, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)], bool)
+            us.append(u[ok])
+            vs.append(v[ok])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def agrees(a: Pictures, i: int, b: Pictures, j: int) -> bool:
+    """Whether ``consensus`` links two pictures, from either to the other (a miss is measured in the other's scale)."""
+    one, other = (a.places[i], a.bits[i]), (b.places[j], b.bits[j])
+    return consensus(*one, *other) >= INLIERS or consensus(*other, *one) >= INLIERS
+
+
+def _met(path: str):
+    """Of the pairs of blocks of the pictures at ``path``: edges (u, v) of a spanning forest and each picture's number of links."""
+
+    def block(k: int) -> Pictures | None:
+        store, root = pafs.FileSystem.from_uri(path)
+        files = [f for f in store.get_file_info(pafs.FileSelector(f"{root}/block={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        return Pictures(pa.concat_tables(pq.ParquetFile(store.open_input_file(f.path)).read() for f in files)) if files else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                order = batch.column("h").to_numpy()
-                nodes = batch.column("node").to_numpy()
-                keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for k, bits in enumerate(batch.column("bits").to_pylist()):
-                    b = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8), axis=1)
-                    keys.append(np.unique((b[:, _ORDER].astype(np.int64) @ weight) * TABLES + np.arange(TABLES)))
-                    owners.append(np.full(len(keys[-1]), k, np.int64))
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                by = np.lexsort((order[owner], key))
-                key, owner = key[by], owner[by]
-                head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-                first = owner[head]
-                led = nodes[first[np.cumsum(head) - 1]]
-                mine = nodes[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(head, key, -1 - (mine & 0xFFFFFFFF))), pa.array(mine), pa.array(led, mask=head)], names=["bucket", "node", "leader"])
+        for batch in batches:
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                a = block(i)
+                b = a if i == j else block(j)
+                if a is None or b is None:
+                    continue
+                u, v = linked(a, b, i == j)
+                nodes = a.nodes if i == j else np.concatenate([a.nodes, b.nodes])
+                v = v if i == j else v + len(a.nodes)
+                links = np.bincount(np.concatenate([u, v]), minlength=len(nodes))
+                root, some = forest(len(nodes), u, v), np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(links[some])], names=["u", "v", "links"])
 
     return run
 
 
-def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, v = [], []
-        for a, b, pa_, ba, pb, bb in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "places_u", "bits_u", "places_v", "bits_v")), strict=True):
-            shaped = [np.frombuffer(x, t).reshape(-1, k) for x, t, k in ((pa_, "<f4", 4), (ba, np.uint8, 32), (pb, "<f4", 4), (bb, np.uint8, 32))]
-            if consensus(*shaped) >= INLIERS:
-                u.append(a)
-                v.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-
-def candidates(nodes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of nodes that a bucket's leader and its members make, VOTES times or more."""
-    nodes = nodes.select("node", F.xxhash64("node", F.lit(turn)).alias("h"), "bits")
-    members = nodes.transform(in_arrow, _bands(), "bucket long, node long, leader long")
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).over(Window.partitionBy("bucket"))["node"]
-    pairs = members.withColumn("leader", F.coalesce("leader", first)).where("node <> leader")
-    return pairs.groupBy(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")).count().where(F.col("count") >= VOTES).select("u", "v")
+def met(pictures: DataFrame) -> DataFrame:
+    """Rows (u, v, links): links of node u that a pair of blocks gives, and a node v that they connect it to."""
+    spark, blocks = pictures.sparkSession, max(1, -(-pictures.count() // BLOCK))
+    path = scratch(spark, "blocks")
+    pictures.withColumn("block", F.expr(f"pmod(node, {blocks}L)")).repartition(min(blocks, TASKS), "block").write.partitionBy("block").parquet(path)
+    pairs = spark.range(0, blocks * blocks, 1, min(blocks * blocks, TASKS)).selectExpr(f"id div {blocks} AS i", f"id % {blocks} AS j").where("i <= j")
+    return pairs.transform(in_arrow, _met(path), "u long, v long, links long")
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """id, class_id (the least id of the class) and links (of its picture to others) of each row of ``images`` (id, image)."""
+    """id, class_id (the least id of the class) and links (how many pictures agree with its own) of each row of ``images`` (id, image)."""
     rows = staged(images.select(F.col("id").cast("long").alias("id"), "image").transform(in_arrow, _described, DESCRIBED), "described")
     # a node is a picture, known by a hash of its bytes; a null image is a node of its own
     node = F.when(F.col("content").isNotNull(), F.xxhash64("content"))
     rows = rows.withColumn("node", node)
     pictures = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "places", "bits")).alias("x"))
     pictures = staged(pictures.select("node", "x.places", "x.bits"), "pictures")
-    links, root, active = None, None, pictures
-    for turn in range(ROUNDS):
-        pairs = staged(candidates(active, turn), "pairs")
-        with_u = pairs.join(pictures.select(F.col("node").alias("u"), F.col("places").alias("places_u"), F.col("bits").alias("bits_u")), "u")
-        both = with_u.join(pictures.select(F.col("node").alias("v"), F.col("places").alias("places_v"), F.col("bits").alias("bits_v")), "v")
-        found = staged(both.transform(in_arrow, _compared, "u long, v long"), "links")
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        root = staged(components(links), "roots")
-        active = pictures.join(root.where("node <> root").select("node"), "node", "left_anti")
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    found = staged(met(pictures), "links")
+    root = staged(components(found.select("u", "v")), "roots")
+    degree = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     known = pictures.select("node").join(root, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     found = staged(rows.select("id", "node").join(known, "node", "left"), "classes")
     named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
