@@ -39,10 +39,10 @@ from docspark.llm.common import in_arrow, scratch, staged, table
 from docspark.llm.fmindex import ranges
 from docspark.llm.graph import components, forest
 
-CORNERS = 40
+CORNERS = 48
 SCALES = (1.0, 1.5, 2.25)
 PATCH = 13
-BITS, BAND, TABLES = 256, 28, 4
+BITS, BAND, TABLES = 256, 24, 10
 #: Bits in which two descriptors of a match may differ.
 DIFFER = 64
 VOTES, INLIERS = 2, 10

@@ -39,6 +39,17 @@ def test_links_hidden_by_unrelated_images(spark, monkeypatch):
     assert {r["id"]: (r["class_id"], r["links"]) for r in got} == {0: (0, 1), 1: (0, 1)} | {i: (i, 0) for i in range(2, 302)}
 
 
+def test_recall_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 32, raising=False)  # several blocks
+    rng = np.random.default_rng(9)
+    images = [media.encoded(x) for _ in range(24) for x in edited(rng)]
+    described = [media.described(media.decoded(x)) for x in images]
+    want = brute(described)
+    assert len(want) > 100
+    links = {r["id"]: r["links"] for r in media.copies(spark.createDataFrame(list(enumerate(images)), "id long, image binary")).collect()}
+    assert sum(links.values()) >= 0.98 * 2 * len(want) and all(links[i] <= sum(i in p for p in want) for i in links)
+
+
 def test_the_filter_loses_no_link():
     rng = np.random.default_rng(10)
     described = [media.described(x) for _ in range(12) for x in edited(rng)]
