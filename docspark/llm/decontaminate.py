@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import chunks, documents, in_arrow, table, utf8
+from docspark.llm.common import chunks, documents, in_arrow, staged, table, utf8
 from docspark.llm.fmindex import FMIndex, ranges
 
 WINDOW = 10
@@ -176,12 +176,65 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every hit span cut out of its text, and n_chars to match; all rows stay.
 
-    The cut is made where the text is read: nothing is shuffled. Text is
-    searched again after a cut, as joining its two sides may form a window.
+    Text is searched again after a cut, as joining its two sides may form a
+    window. A benchmark of one block is cut where the text is read: nothing is
+    shuffled. Of a larger one the spans of all blocks are found on the same text
+    and cut at once; what was cut is written out and searched again by all
+    blocks, until none hits.
     """
-    for block in benchmark_blocks(benchmark.select(F.col("item_id").cast("long"), "text")):
-        docs = docs.transform(in_arrow, _cleaner(Phrases(block, window), docs.columns), docs.schema)
-    return docs
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    blocks = benchmark_blocks(items)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        return docs.transform(in_arrow, _cleaner(Phrases(first, window), docs.columns), docs.schema)
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    todo, clear = docs, None
+    while True:
+        rows = todo.withColumn(spans, F.expr("CAST(array() AS array<struct<start:long,end:long>>)"))
+        for block in benchmark_blocks(items):
+            rows = rows.transform(in_arrow, _marker(Phrases(block, window), spans), rows.schema)
+        rows = staged(rows, "marked")
+        free = rows.where(F.size(spans) == 0).select(*docs.columns)
+        clear = free if clear is None else clear.unionByName(free)
+        hit = rows.where(F.size(spans) > 0)
+        if hit.isEmpty():
+            return clear
+        todo = staged(hit.transform(in_arrow, _cutter(spans, docs.columns), docs.schema), "cut")
+
+
+def _marker(phrases: Phrases, spans: str):
+    """Adds the spans that one block of the benchmark hits to those of earlier blocks; the text stays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", SHARD_BYTES):
+            found = shard_hits(utf8(batch.column("text")), phrases)
+            both = [merged(old, new) for old, (_, new, _) in zip(batch.column(spans).to_pylist(), found, strict=True)]
+            arrays = [pa.array(both, _SPANS) if c == spans else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return run
+
+
+def _cutter(spans: str, columns: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", SHARD_BYTES):
+            found = batch.column(spans).to_pylist()
+            texts = [cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), found, strict=True)]
+            yield _replaced(batch, columns, texts, dict(enumerate(texts)))
+
+    return run
+
+
+def _replaced(batch: pa.RecordBatch, columns: list[str], texts: list[str | None], changed: dict[int, str]) -> pa.RecordBatch:
+    """The columns with these texts, and n_chars of those that changed."""
+    arrays = {c: batch.column(c) for c in columns}
+    arrays["text"] = pa.array(texts, batch.column("text").type)
+    if "n_chars" in arrays:
+        n = [len(changed[i]) if i in changed else x for i, x in enumerate(arrays["n_chars"].to_pylist())]
+        arrays["n_chars"] = pa.array(n, arrays["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
 
 def _cleaner(phrases: Phrases, columns: list[str]):
@@ -195,12 +248,7 @@ def _cleaner(phrases: Phrases, columns: list[str]):
                 for i, spans in zip(todo, (s for _, s, _ in hits if s), strict=True):
                     texts[i] = changed[i] = cut(texts[i], spans)
             if changed:
-                arrays = {c: batch.column(c) for c in columns}
-                arrays["text"] = pa.array(texts, batch.column("text").type)
-                if "n_chars" in arrays:
-                    n = [len(changed[i]) if i in changed else x for i, x in enumerate(arrays["n_chars"].to_pylist())]
-                    arrays["n_chars"] = pa.array(n, arrays["n_chars"].type)
-                batch = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+                batch = _replaced(batch, columns, texts, changed)
             yield batch
 
     return run
