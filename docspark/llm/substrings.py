@@ -1,4 +1,8 @@
-"""Substring dedup: repeated passages of twenty words or more, by FM-index matching statistics.
+"""Substring dedup: repeated passages of twenty words or more, by hashes of units and FM-index search.
+
+No matching statistics are computed. Equal units are found by a 128-bit hash,
+without an FM-index; in what differs, each window is a fixed pattern of 20 words
+searched backward. Both stand in for matching statistics with a threshold of 20.
 
 Words are runs of bytes other than space and tab to carriage return, compared
 unchanged. A window is 20 consecutive words of one document. A word goes if a
