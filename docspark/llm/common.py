@@ -47,6 +47,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_place(rows: DataFrame, name: str) -> DataFrame:
+    """Staged rows with a number of their own: by the file's number and the row's place in it, whatever the rows hold."""
+    file = F.col("_metadata.file_name")
+    return rows.select("*", F.xxhash64(F.split(file, "-")[1], F.regexp_extract(file, r"-c(\d+)", 1), F.col("_metadata.row_index")).alias(name))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a thousand rows at most, so that their buffers stay small for whole texts too."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
@@ -63,6 +69,17 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
 
 
+def free_name(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that ``columns`` have already, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts, to size partitions."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -123,6 +123,56 @@ class FMIndex:
         high[short] = low[short]
         return low, high
 
+    def matches(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed pieces [begin, end) of ``text`` (0 for symbols the index lacks), at ``least`` and above.
+
+        A piece is searched backward from its end. Where its match [left, right)
+        cannot go on, it is reported if it is long enough, and the search begins
+        again from the longest right end for which a window of ``least`` symbols
+        over the next place is still open. So every place that begins a match of
+        that length lies in a reported one. Returns left, right and the suffix
+        range [low, high) of each; all pieces go on in step.
+        """
+        on = np.flatnonzero(end - begin >= least)
+        stop, left, right = begin[on], end[on], end[on]
+        low, high = np.zeros(len(on), np.int64), np.full(len(on), self.size, np.int64)
+        size = np.append(self.below[1:], self.size) - self.below
+        out: list[tuple[np.ndarray, ...]] = []
+        while len(on):
+            symbol = np.where(left > stop, text[left - 1], -1)
+            new_low, new_high = np.zeros(len(on), np.int64), np.zeros(len(on), np.int64)
+            fresh = np.flatnonzero((left == right) & (symbol > 0))
+            new_low[fresh], new_high[fresh] = self.below[symbol[fresh]], self.below[symbol[fresh]] + size[symbol[fresh]]
+            # a range of one row goes on only with the symbol before it
+            one = np.flatnonzero((left < right) & (symbol > 0) & (high - low == 1))
+            if len(one):
+                before, rank = self.planes.step(low[one])
+                same = one[before == symbol[one]]
+                new_low[same] = self.below[symbol[same]] + rank[before == symbol[one]]
+                new_high[same] = new_low[same] + 1
+            more = np.flatnonzero((left < right) & (symbol > 0) & (high - low > 1))
+            if len(more):
+                s = symbol[more]
+                both = self.planes.rank(np.concatenate([s, s]), np.concatenate([low[more], high[more]]))
+                new_low[more], new_high[more] = self.below[s] + both[: len(more)], self.below[s] + both[len(more) :]
+            ok = new_high > new_low
+            fails = np.flatnonzero(~ok)
+            if len(fails):
+                long = fails[right[fails] - left[fails] >= least]
+                out.append((left[long], right[long], low[long], high[long]))
+                to = np.where(symbol[fails] == 0, left[fails] - 1, np.minimum(right[fails] - 1, left[fails] - 1 + least))
+                right[fails] = np.where(symbol[fails] < 0, stop[fails], to)
+                left[fails] = right[fails]
+                left[ok] -= 1
+                low, high = new_low, new_high
+                keep = ok | (right - stop >= least)
+                if not keep.all():
+                    on, stop, left, right, low, high = (x[keep] for x in (on, stop, left, right, low, high))
+            else:
+                left -= 1
+                low, high = new_low, new_high
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows: walk back to the nearest sampled one."""
         out = np.zeros(len(rows), np.int64)
