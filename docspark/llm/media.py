@@ -2,24 +2,39 @@
 
 An image column (binary PGM or PPM, "P5" or "P6") gives each image up to
 ``CORNERS`` corners over several scales, the direction of each (towards the
-brightness around it) and 256 binary tests turned to that direction.
-Descriptors meet in Hamming tables: bands of ``BAND`` bits that agree. All
-images of a bucket meet one another: pictures are dealt into blocks of about
-``BLOCK``, and a task counts the buckets that the pictures of two blocks share,
-so neither buckets nor pairs are shuffled, whatever the size of a bucket. Pairs
-that meet in ``VOTES`` buckets are compared by all their descriptors, and are
-linked if ``INLIERS`` matches agree on one turn, size and shift. Linked images
-form classes. Images of equal bytes are one image from the start.
+brightness around it) and 256 binary tests turned to that direction. The two
+places of a test lie across the direction and away from the corner itself, where
+unrelated corners look alike.
+
+Descriptors meet in Hamming tables: ``TABLES`` bands of ``BAND`` bits that agree,
+joined by band. Two pictures are compared if two different corners of one meet
+corners of the other; they are linked if ``INLIERS`` matches of their descriptors
+agree on one turn, size and shift. Linked pictures form classes; images of equal
+bytes are one picture from the start.
+
+Not all pairs of a group of copies are made. In buckets of ``LARGE`` pictures and
+more, each is first compared with one picture that it meets, ``ROUNDS`` times with
+another one, which puts most of a group into one class at the cost of its size;
+then, in all buckets, all pairs that are still in different classes meet. So no
+pair that shares two corners is missed. Each step is written out, so a lost
+executor repeats tasks and nothing else.
+
+What is lost: corners after the ``CORNERS`` strongest of a picture, so that a
+small part of a busy picture may keep too few; and matches none of whose bands
+agree. A band's bits bound how many unrelated pictures share a bucket, which
+grows with the square of their number: more pictures ask for more bits.
 
 There is no table of images among the inputs, so the query draws each vector of
-``embeddings`` as an 8 x 8 field, smoothly enlarged; near vectors are edited
-copies of a picture.
+``embeddings`` as a texture, the sum of fixed textures by its numbers (near
+vectors are edited copies of a picture), and adds an edited copy, cut, turned or
+brightened, of every hundredth, so that each table has links that are known.
 
 Defined results: a null or unreadable image, and one too small or too plain for
-corners, is a class of its own with no links, unless its bytes are equal to
-another's (null images are not equal to one another); a null id keeps its class
-but never names one; repeated rows are copies of each other; an empty table
-gives an empty table; other columns are not read.
+corners, is a class of its own, unless its bytes are equal to another's (null
+images are not equal to one another); a null id keeps its class but never names
+one; repeated rows are copies of each other; of a very large image the strongest
+corners count; an empty table gives an empty table; only id and image are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,37 +42,43 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_arrow, scratch, staged, table
-from docspark.llm.fmindex import ranges
-from docspark.llm.graph import components, forest
+from docspark.llm.common import in_arrow, staged, table
+from docspark.llm.graph import components
 
 CORNERS = 48
 SCALES = (1.0, 1.5, 2.25)
 PATCH = 13
-BITS, BAND, TABLES = 256, 24, 10
+BITS, BAND, TABLES = 256, 48, 8
 #: Bits in which two descriptors of a match may differ.
 DIFFER = 64
-VOTES, INLIERS = 2, 10
-#: Pictures of a block, and tasks that the pairs of blocks are dealt to at most.
-BLOCK, TASKS = 1024, 4096
+INLIERS = 10
+#: Pictures of a bucket from which they are compared with one of them before they meet one another, and how often.
+LARGE, ROUNDS = 16, 3
 #: Pixels (at the scale of a corner) by which a match may miss its place.
 MISS = 3.0
 
 _rng = np.random.default_rng(20240229)
-#: Pairs of places of the binary tests, normally spread within the patch.
-_TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
+
+
+def _tests() -> np.ndarray:
+    """Pairs of places (x, y): within the patch, five pixels from the corner at least, at most four apart along its direction."""
+    p = _rng.uniform(-PATCH + 1, PATCH - 1, (64 * BITS, 2, 2))
+    away = (p**2).sum(axis=2)
+    return p[(away.max(axis=1) <= (PATCH - 1) ** 2) & (away.min(axis=1) >= 25) & (np.abs(p[:, 0, 0] - p[:, 1, 0]) <= 4)][:BITS]
+
+
+_TESTS = _tests()
 _Y, _X = np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]
 _DISC = np.flatnonzero((_Y**2 + _X**2 <= PATCH**2).ravel())
-#: Bits of each band, drawn anew, so that neighbours in the test order are apart.
-_ORDER = _rng.permutation(BITS)[: TABLES * BAND].reshape(TABLES, BAND)
+#: Bits of each band, drawn anew for each table.
+_ORDER = np.stack([_rng.permutation(BITS)[:BAND] for _ in range(TABLES)])
 
 
 def decoded(raw: bytes | None) -> np.ndarray | None:
@@ -171,160 +192,125 @@ def _described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.binary()) for c in (content, places, bits))], names=["id", "content", "places", "bits"])
 
 
-def buckets(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of each picture's descriptors in order of bucket, and whose they are."""
+def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (band, node, corner) for each table and descriptor."""
     weight = 1 << np.arange(BAND, dtype=np.int64)
-    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, b in enumerate(bits):
-        tests = np.unpackbits(b, axis=1)
-        keys.append(np.unique((tests[:, _ORDER].astype(np.int64) @ weight) * TABLES + np.arange(TABLES)))
-        owners.append(np.full(len(keys[-1]), k, np.int64))
-    key, owner = np.concatenate(keys), np.concatenate(owners)
-    by = np.argsort(key, kind="stable")
-    return key[by], owner[by]
-
-
-def meetings(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
-    """In how many buckets each of n pictures meets each of m."""
-    votes = np.zeros(n * m, np.uint16)
-    low, high = (np.searchsorted(right[0], left[0], side=x) for x in ("left", "right"))
-    ends = np.cumsum(high - low)
-    at = 0
-    while at < len(low):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
-        places, which = ranges(low[at:to], high[at:to])
-        votes += np.bincount(left[1][at:to][which] * m + right[1][places], minlength=n * m).astype(np.uint16)
-        at = to
-    return votes.reshape(n, m)
-
-
-class Pictures:
-    """The pictures of a block, their descriptors padded to one shape."""
-
-    def __init__(self, rows: pa.Table):
-        self.nodes = rows.column("node").to_numpy()
-        self.places = [np.frombuffer(x, "<f4").reshape(-1, 4) for x in rows.column("places").to_pylist()]
-        self.bits = [np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in rows.column("bits").to_pylist()]
-        self.counts = np.array([len(b) for b in self.bits], np.int64)
-        most = max(1, int(self.counts.max(initial=0)))
-        self.words = np.zeros((len(self.bits), most, BITS // 64), np.uint64)
-        self.shape = np.ones((len(self.bits), most, 2))  # scale, direction
-        for k, (p, b) in enumerate(zip(self.places, self.bits, strict=True)):
-            self.words[k, : len(b)] = b.view(np.uint64)
-            self.shape[k, : len(b)] = p[:, 2:]
-
-
-def hopeful(a: Pictures, i: np.ndarray, b: Pictures, j: np.ndarray) -> np.ndarray:
-    """Which pairs have INLIERS matches that agree on turn and size: all that ``consensus`` could link, and few others."""
-    x, y = a.words[i], b.words[j]
-    distance = np.zeros((len(i), x.shape[1], y.shape[1]), np.uint16)
-    for k in range(BITS // 64):
-        distance += np.bitwise_count(x[:, :, None, k] ^ y[:, None, :, k])
-    for counts, pad in ((a.counts[i], distance), (b.counts[j], distance.transpose(0, 2, 1))):
-        if (counts < pad.shape[1]).any():
-            pad[np.arange(pad.shape[1])[None] >= counts[:, None]] = BITS + 1
-    nearest = distance.argmin(axis=2)
-    mutual = np.take_along_axis(distance.argmin(axis=1), nearest, axis=1) == np.arange(x.shape[1])
-    match = mutual & (np.take_along_axis(distance, nearest[:, :, None], axis=2)[:, :, 0] <= DIFFER)
-    some = np.flatnonzero(match.sum(axis=1) >= INLIERS)
-    p, q, match = a.shape[i[some]], np.take_along_axis(b.shape[j[some]], nearest[some][:, :, None], axis=1), match[some]
-    ratio, turn = q[:, :, 0] / p[:, :, 0], q[:, :, 1] - p[:, :, 1]
-    off = np.abs(turn[:, :, None] - turn[:, None]) % (2 * np.pi)
-    # a little wider than consensus, so that rounding loses nothing
-    agree = (np.minimum(off, 2 * np.pi - off) <= 0.5001) & (np.abs(np.log(ratio[:, :, None] / ratio[:, None])) < 0.5001) & match[:, None]
-    return some[(agree.sum(axis=2) * match).max(axis=1, initial=0) >= INLIERS]
-
-
-def linked(a: Pictures, b: Pictures, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of pictures (numbers in a, in b) that meet VOTES times and that consensus links."""
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    right = buckets(b.bits)
-    for at in range(0, len(a.bits), 256):
-        i, j = np.nonzero(meetings(buckets(a.bits[at : at + 256]), right, len(a.bits[at : at + 256]), len(b.bits)) >= VOTES)
-        i += at
-        if same:
-            i, j = i[i < j], j[i < j]
-        for k in range(0, len(i), 64):
-            u, v = i[k : k + 64], j[k : k + 64]
-            u, v = (x[hopeful(a, u, b, v)] for x in (u, v))
-            ok = np.array([agrees(a, x, b, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)], bool)
-            us.append(u[ok])
-            vs.append(v[ok])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def agrees(a: Pictures, i: int, b: Pictures, j: int) -> bool:
+    for batch in batches:
+        bits = [np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in batch.column("bits").to_pylist()]
+        sizes = np.array([len(b) for b in bits], np.int64)
+        tests = np.unpackbits(np.concatenate(bits), axis=1).astype(np.int64)
+        band = np.concatenate([(tests[:, o] @ weight) * TABLES + k for k, o in enumerate(_ORDER)])
+        node = np.repeat(batch.column("node").to_numpy(), sizes)
+        corner = np.concatenate([np.arange(n, dtype=np.int16) for n in sizes])
+        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.tile(node, TABLES)), pa.array(np.tile(corner, TABLES))], names=["band", "node", "corner"])
+
+
+def meetings(pictures: DataFrame) -> DataFrame:
+    """Rows (band, node, corner, size): the buckets of two descriptors or more.
+
+    The count of a band is made before the shuffle where it can be; a band that
+    very many rows have is split by the skew-aware join.
+    """
+    bands = pictures.select("node", "bits").transform(in_arrow, _bands, "band long, node long, corner short")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    return bands.join(shared, "band")
+
+
+def _agreed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = []
+        for k in "uv":
+            places, bits = batch.column(f"places_{k}").to_pylist(), batch.column(f"bits_{k}").to_pylist()
+            sides.append([(np.frombuffer(p, "<f4").reshape(-1, 4), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)) for p, b in zip(places, bits, strict=True)])
+        yield batch.select(["u", "v"]).filter(pa.array([agrees(one, other) for one, other in zip(*sides, strict=True)], pa.bool_()))
+
+
+def agrees(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether ``consensus`` links two pictures, from either to the other (a miss is measured in the other's scale)."""
-    one, other = (a.places[i], a.bits[i]), (b.places[j], b.bits[j])
     return consensus(*one, *other) >= INLIERS or consensus(*other, *one) >= INLIERS
 
 
-def _met(path: str):
-    """Of the pairs of blocks of the pictures at ``path``: edges (u, v) of a spanning forest and each picture's number of links."""
+def paired(hits: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ``hits`` (u, v, corner) that meet in two corners of u."""
+    return hits.groupBy("u", "v").agg(F.min("corner").alias("a"), F.max("corner").alias("b")).where("a < b").select("u", "v")
 
-    def block(k: int) -> Pictures | None:
-        store, root = pafs.FileSystem.from_uri(path)
-        files = [f for f in store.get_file_info(pafs.FileSelector(f"{root}/block={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
-        return Pictures(pa.concat_tables(pq.ParquetFile(store.open_input_file(f.path)).read() for f in files)) if files else None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-                a = block(i)
-                b = a if i == j else block(j)
-                if a is None or b is None:
-                    continue
-                u, v = linked(a, b, i == j)
-                nodes = a.nodes if i == j else np.concatenate([a.nodes, b.nodes])
-                v = v if i == j else v + len(a.nodes)
-                links = np.bincount(np.concatenate([u, v]), minlength=len(nodes))
-                root, some = forest(len(nodes), u, v), np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(links[some])], names=["u", "v", "links"])
+def compared(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that are linked."""
+    side = lambda k: pictures.select(F.col("node").alias(k), F.col("places").alias(f"places_{k}"), F.col("bits").alias(f"bits_{k}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").transform(in_arrow, _agreed, "u long, v long")
 
-    return run
 
+def links(pictures: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all pictures (node, places, bits) that are linked."""
+    met = staged(meetings(pictures), "meetings")
+    large, found = met.where(F.col("size") >= LARGE).drop("size"), None
+    classes = None
+    for turn in range(ROUNDS):
+        here = _classed(large, classes)
+        # the picture of least hash in each bucket, and of these the least that a picture meets in two corners
+        lead = here.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "root")).alias("lead"))
+        hits = here.join(lead, "band").where("root <> lead.root").select(F.col("node").alias("u"), F.col("lead.node").alias("v"), "corner")
+        pairs = paired(hits).groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("by"), "v")).alias("x")).select("u", "x.v")
+        new = staged(compared(pairs, pictures), "leaders")
+        found = new if found is None else found.unionByName(new)
+        classes = staged(components(found), "roots")
+    here = _classed(met, classes)
+    one, other = here.select("band", F.col("node").alias("u"), "corner", F.col("root").alias("p")), here.select("band", F.col("node").alias("v"), F.col("root").alias("q"))
+    rest = staged(compared(paired(one.join(other, "band").where("u < v AND p <> q").select("u", "v", "corner")), pictures), "links")
+    return found.unionByName(rest)
 
-def met(pictures: DataFrame) -> DataFrame:
-    """Rows (u, v, links): links of node u that a pair of blocks gives, and a node v that they connect it to."""
-    spark, blocks = pictures.sparkSession, max(1, -(-pictures.count() // BLOCK))
-    path = scratch(spark, "blocks")
-    pictures.withColumn("block", F.expr(f"pmod(node, {blocks}L)")).repartition(min(blocks, TASKS), "block").write.partitionBy("block").parquet(path)
-    pairs = spark.range(0, blocks * blocks, 1, min(blocks * blocks, TASKS)).selectExpr(f"id div {blocks} AS i", f"id % {blocks} AS j").where("i <= j")
-    return pairs.transform(in_arrow, _met(path), "u long, v long, links long")
+
+def _classed(met: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """The rows of ``met`` with the class of their picture so far."""
+    here = met.select("band", "node", "corner")
+    return here.withColumn("root", F.col("node")) if classes is None else here.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """id, class_id (the least id of the class) and links (how many pictures agree with its own) of each row of ``images`` (id, image)."""
+    """id, class_id (the least id of the class) and members (rows of the class) of each row of ``images`` (id, image)."""
     rows = staged(images.select(F.col("id").cast("long").alias("id"), "image").transform(in_arrow, _described, DESCRIBED), "described")
     # a node is a picture, known by a hash of its bytes; a null image is a node of its own
-    node = F.when(F.col("content").isNotNull(), F.xxhash64("content"))
-    rows = rows.withColumn("node", node)
-    pictures = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "places", "bits")).alias("x"))
-    pictures = staged(pictures.select("node", "x.places", "x.bits"), "pictures")
-    found = staged(met(pictures), "links")
-    root = staged(components(found.select("u", "v")), "roots")
-    degree = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    known = pictures.select("node").join(root, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    found = staged(rows.select("id", "node").join(known, "node", "left"), "classes")
-    named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
-    return found.join(named, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def drawn(vector: list[float] | None) -> bytes | None:
-    """A square field of the vector's numbers, enlarged smoothly to eight pixels a number."""
+    rows = rows.withColumn("node", F.when(F.col("content").isNotNull(), F.xxhash64("content")))
+    pictures = rows.where("node IS NOT NULL AND length(bits) > 0").groupBy("node").agg(F.min(F.struct("id", "places", "bits")).alias("x"))
+    root = components(links(staged(pictures.select("node", "x.places", "x.bits"), "pictures")))
+    rows = rows.select("id", "node").join(root, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    named = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    own = F.col("root").isNull()
+    return rows.join(named, "root", "left").select("id", F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 1).otherwise(F.col("members")).cast("long").alias("members"))
+
+
+SIDE, CELL = 64, 6
+#: One in so many vectors gives an edited copy too.
+PLANTED = 100
+
+
+@lru_cache(2)
+def textures(n: int) -> np.ndarray:
+    rng = np.random.default_rng(n)
+    return np.stack([resized(rng.normal(size=(SIDE // CELL + 2,) * 2).astype(np.float32), SIDE, SIDE) for _ in range(n)])
+
+
+def drawn(vector: list[float] | None, edit: int = 0) -> bytes | None:
+    """The sum of textures by the vector's numbers; ``edit`` cuts it (1), turns it (2) or brightens it (3)."""
     if not vector or any(x is None for x in vector):
         return None
-    side = max(1, int(len(vector) ** 0.5))
-    field = np.array(vector[: side * side], np.float32).reshape(side, side)
-    spread = float(field.std()) or 1.0
-    return encoded(resized(128 + 48 * (field - field.mean()) / spread, side * 8, side * 8))
+    field = np.tensordot(np.array(vector, np.float32), textures(len(vector)), 1)
+    image = 128 + 44 * (field - field.mean()) / (float(field.std()) or 1.0)
+    return encoded((image, image[:, : SIDE * 3 // 4], np.rot90(image), 1.1 * image + 6)[edit])
 
 
 def _drawn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([drawn(v) for v in batch.column("embedding").to_pylist()], pa.binary())], names=["id", "image"])
+        images = [drawn(v, e) for v, e in zip(batch.column("embedding").to_pylist(), batch.column("edit").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(images, pa.binary())], names=["id", "image"])
 
 
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")
-    return copies(vectors.transform(in_arrow, _drawn, "id long, image binary")).withColumnRenamed("id", "vec_id")
+    """vec_id, edited (whether the row is an edited copy), class_id (a vec_id) and members."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    edits = F.when(F.col("vec_id") % PLANTED == 0, F.array(F.lit(0), (F.abs(F.col("vec_id")) / PLANTED).cast("int") % 3 + 1)).otherwise(F.array(F.lit(0)))
+    rows = vectors.select((2 * F.col("vec_id")).alias("id"), "embedding", F.explode(edits).alias("edit"))
+    rows = rows.select((F.col("id") + (F.col("edit") > 0).cast("int")).alias("id"), "embedding", "edit")
+    found = copies(rows.transform(in_arrow, _drawn, "id long, image binary"))
+    return found.select(F.expr("id div 2").alias("vec_id"), (F.col("id") % 2 == 1).alias("edited"), F.expr("class_id div 2").alias("class_id"), "members")

@@ -144,7 +144,7 @@ def ids_of(docs, end):
 
 @pytest.mark.parametrize("size", [1 << 22, 20_000])
 def test_op3(spark, sf, docs, size, monkeypatch):
-    monkeypatch.setattr(huffman, "FILE_TOKENS", size)  # the small one: several files
+    monkeypatch.setattr(huffman, "LEAST_TOKENS", size)  # the small one: several files
     got, at = result(spark, sf, "op3_token_files"), 0
     for r, ids in zip(docs, ids_of(docs, 2), strict=True):
         g = got[r["doc_id"]]
@@ -316,16 +316,6 @@ def test_op9(spark, sf):
         assert (g["payload_bytes"], g["payload_digest"], g["record_type"], g["refers_to"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", top if again else None)
 
 
-def test_op10(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    got = result(spark, sf, "op10_media_copies", "vec_id")
-    e = np.array([v["embedding"] for v in vectors], np.float64)
-    e /= np.linalg.norm(e, axis=1, keepdims=True)
-    near = [(i, j) for i, j in np.argwhere(e @ e.T > 0.97).tolist() if i < j]
-    together = sum(got[vectors[i]["vec_id"]]["class_id"] == got[vectors[j]["vec_id"]]["class_id"] for i, j in near)
-    assert together >= 0.9 * len(near) and len(got) == len(vectors)
-
-
 def test_pipeline(spark, sf, docs):
     """Each stage but the first against brute force on what its predecessor kept."""
     current, kept = spark.read.parquet(f"{sf}/documents.parquet"), docs
