@@ -11,11 +11,18 @@ that are long enough for its shortest window are indexed: no window can lie
 elsewhere. All windows are searched backward at once; occurrences are located
 by sampled suffix positions.
 
+The benchmark is staged as files, which the workers read a block of
+``BLOCK_BYTES`` at a time, so neither the driver nor a task's code nor a worker
+holds more than a block, however large the benchmark. What all blocks find on
+the same text is merged before anything is decided or cut, so results do not
+depend on blocks.
+
 Defined results: a null text has no words; an item without words has no
 window; items with equal ids count once, a null item id removes text but is
-not listed; repeated rows are treated alike; an empty table on either side
-gives no hits; other columns pass through untouched, and the operator's own
-columns are named by the caller when they would clash.
+not listed; repeated rows are treated alike; a very long text is a shard of its
+own; there are no ties, as all occurrences count; an empty table on either side
+gives no hits; ``find`` reads doc_id and text only and ``clean`` puts texts in
+place, so no name can clash.
 """
 
 from __future__ import annotations
@@ -26,17 +33,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import chunks, documents, in_arrow, staged, table, utf8
+from docspark.llm.common import chunks, documents, in_arrow, open_file, staged, table, text_bytes, utf8
 from docspark.llm.fmindex import FMIndex, ranges
 
 WINDOW = 10
 #: Bytes of text that a shard's index covers.
 SHARD_BYTES = 24 << 20
-#: Bytes of benchmark text sent to the executors at once; more goes in further blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that a worker holds at once.
+BLOCK_BYTES = 4 << 20
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes(c if c >= 0x80 or c in _WORD else 0x20 for c in bytes(range(256)).lower())
@@ -111,54 +119,90 @@ def shard_hits(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, l
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, spans of hit words [start, end) and items, a row for each row of ``docs``."""
-    rows = documents(docs, F.col(text).alias("text"))
-    rows = rows.selectExpr("*", "0L AS n_words", "CAST(array() AS array<struct<start:long,end:long>>) AS spans", "CAST(array() AS array<long>) AS items")
-    for block in benchmark_blocks(benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))):
-        rows = rows.transform(in_arrow, _finder(Phrases(block, window)), f"{FOUND}, text string")
-    return rows.select("doc_id", "n_words", "spans", "items")
-
-
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list]:
-    """The items in lists of at most BLOCK_BYTES of text, fetched partition by partition."""
-    block: list[tuple[int | None, str | None]] = []
-    size, any_ = 0, False
-    for row in benchmark.toLocalIterator():
-        n = len((row["text"] or "").encode()) + 16
-        if block and size + n > BLOCK_BYTES:
+Block = tuple[str, int, int]
+
+
+def benchmark_files(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[str]:
+    """The items in files of about BLOCK_BYTES each."""
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
+    files = staged(items.repartition(text_bytes(items) // BLOCK_BYTES + 1), "benchmark").inputFiles()
+    return sorted(files)
+
+
+class Blocks:
+    """The windows of all items, a block of ``most`` bytes at a time; the last block that was used is kept."""
+
+    _last: tuple[Block, Phrases] | None = None
+
+    def __init__(self, files: list[str], window: int, most: int):
+        self.files, self.window, self.most = files, window, most
+
+    def __iter__(self) -> Iterator[Phrases]:
+        """One block at least, of no items if there are none."""
+        some = False
+        for path in self.files:
+            if Blocks._last and Blocks._last[0] == (path, -1, self.window):
+                yield Blocks._last[1]  # a file that was one block
+                some = True
+                continue
+            rows = pq.ParquetFile(open_file(path)).read()
+            items = list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
+            cuts = list(self._cut(items))
+            for k, part in enumerate(cuts):
+                Blocks._last = None
+                phrases = Phrases(part, self.window)
+                Blocks._last = ((path, -1 if len(cuts) == 1 else k, self.window), phrases)
+                yield phrases
+                some = True
+        if not some:
+            yield Phrases([], self.window)
+
+    def _cut(self, items: list[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, str | None]]]:
+        block: list[tuple[int | None, str | None]] = []
+        size = 0
+        for row in items:
+            n = len((row[1] or "").encode()) + 16
+            if block and size + n > self.most:
+                yield block
+                block, size = [], 0
+            block.append(row)
+            size += n
+        if block:
             yield block
-            any_, block, size = True, [], 0
-        block.append((row["item_id"], row["text"]))
-        size += n
-    if block or not any_:
-        yield block
 
+    def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+        """What ``shard_hits`` finds, of all blocks together."""
+        found = None
+        for phrases in self:
+            new = shard_hits(texts, phrases)
+            found = new if found is None else [(n, merged(a, b), sorted({*x, *y})) for (n, a, x), (_, b, y) in zip(found, new, strict=True)]
+        return found
 
-def _finder(phrases: Phrases):
-    """Adds what one block of the benchmark hits to what earlier blocks have hit."""
 
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, spans of hit words [start, end) and items, a row for each row of ``docs``."""
+    blocks = Blocks(benchmark_files(benchmark, item, text), window, BLOCK_BYTES)
+    return documents(docs, F.col(text).alias("text")).transform(in_arrow, _finder(blocks), FOUND)
+
+
+def _finder(blocks: Blocks):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SHARD_BYTES):
-            rows = shard_hits(utf8(batch.column("text")), phrases)
-            spans = [merged(old, new) for old, (_, new, _) in zip(batch.column("spans").to_pylist(), rows, strict=True)]
-            items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column("items").to_pylist(), rows, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64())), batch.column("text")],
-                names=["doc_id", "n_words", "spans", "items", "text"],
-            )
+            n, spans, items = zip(*blocks.hits(utf8(batch.column("text"))), strict=True)
+            spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "spans", "items"])
 
     return run
 
 
-def merged(old: list[dict], new: list[tuple[int, int]]) -> list[dict]:
+def merged(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Both lists' spans in order, touching and overlapping ones put together."""
-    out: list[dict] = []
-    for start, end in sorted([(x["start"], x["end"]) for x in old] + new):
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(end, out[-1]["end"])
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(old + new):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append({"start": start, "end": end})
+            out.append((start, end))
     return out
 
 
@@ -176,55 +220,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every hit span cut out of its text, and n_chars to match; all rows stay.
 
-    Text is searched again after a cut, as joining its two sides may form a
-    window. A benchmark of one block is cut where the text is read: nothing is
-    shuffled. Of a larger one the spans of all blocks are found on the same text
-    and cut at once; what was cut is written out and searched again by all
-    blocks, until none hits.
+    The spans of all blocks are found on the same text and cut at once. What
+    was cut is searched again by all blocks, as joining the two sides of a cut
+    may form a window, until none hits. All of it happens where a text is read.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
-    blocks = benchmark_blocks(items)
-    first = next(blocks)
-    if next(blocks, None) is None:
-        return docs.transform(in_arrow, _cleaner(Phrases(first, window), docs.columns), docs.schema)
-    spans = "spans"
-    while spans in docs.columns:
-        spans += "_"
-    todo, clear = docs, None
-    while True:
-        rows = todo.withColumn(spans, F.expr("CAST(array() AS array<struct<start:long,end:long>>)"))
-        for block in benchmark_blocks(items):
-            rows = rows.transform(in_arrow, _marker(Phrases(block, window), spans), rows.schema)
-        rows = staged(rows, "marked")
-        free = rows.where(F.size(spans) == 0).select(*docs.columns)
-        clear = free if clear is None else clear.unionByName(free)
-        hit = rows.where(F.size(spans) > 0)
-        if hit.isEmpty():
-            return clear
-        todo = staged(hit.transform(in_arrow, _cutter(spans, docs.columns), docs.schema), "cut")
-
-
-def _marker(phrases: Phrases, spans: str):
-    """Adds the spans that one block of the benchmark hits to those of earlier blocks; the text stays."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", SHARD_BYTES):
-            found = shard_hits(utf8(batch.column("text")), phrases)
-            both = [merged(old, new) for old, (_, new, _) in zip(batch.column(spans).to_pylist(), found, strict=True)]
-            arrays = [pa.array(both, _SPANS) if c == spans else batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return run
-
-
-def _cutter(spans: str, columns: list[str]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", SHARD_BYTES):
-            found = batch.column(spans).to_pylist()
-            texts = [cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), found, strict=True)]
-            yield _replaced(batch, columns, texts, dict(enumerate(texts)))
-
-    return run
+    return docs.transform(in_arrow, _cleaner(Blocks(benchmark_files(benchmark), window, BLOCK_BYTES), docs.columns), docs.schema)
 
 
 def _replaced(batch: pa.RecordBatch, columns: list[str], texts: list[str | None], changed: dict[int, str]) -> pa.RecordBatch:
@@ -237,16 +237,17 @@ def _replaced(batch: pa.RecordBatch, columns: list[str], texts: list[str | None]
     return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
 
-def _cleaner(phrases: Phrases, columns: list[str]):
+def _cleaner(blocks: Blocks, columns: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SHARD_BYTES):
             texts, changed = batch.column("text").to_pylist(), {}
             todo = list(range(len(texts)))
             while todo:
-                hits = shard_hits([None if texts[i] is None else texts[i].encode() for i in todo], phrases)
-                todo = [i for i, (_, spans, _) in zip(todo, hits, strict=True) if spans]
-                for i, spans in zip(todo, (s for _, s, _ in hits if s), strict=True):
+                hits = blocks.hits([None if texts[i] is None else texts[i].encode() for i in todo])
+                some = [(i, spans) for i, (_, spans, _) in zip(todo, hits, strict=True) if spans]
+                for i, spans in some:
                     texts[i] = changed[i] = cut(texts[i], spans)
+                todo = [i for i, _ in some]
             if changed:
                 batch = _replaced(batch, columns, texts, changed)
             yield batch
