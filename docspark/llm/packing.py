@@ -8,11 +8,15 @@ is counted are patterns of lengths, not documents. The pieces of one length
 then take the places that the patterns have for it by rank.
 
 Ranks are dealt: a length is split into as many buckets as its count asks for,
-so no task gets all pieces of a common length.
-
-Defined results: a null or empty text is its end id alone; a document without
-doc_id is packed like any other; repeated rows are packed as often as they
-come; an empty table gives no sequence; other columns are not read.
+by the places of the staged pieces and not by what they hold, so no task gets all
+pieces of a common length, nor all of one text, of one doc_id or of none.
+
+Defined results: a null or empty text is its end id alone; a very long one is cut
+into full pieces and a rest; a document without doc_id is packed like any other;
+repeated rows are packed as often as they come; which of the pieces of one length
+gets which place is not said (ties); an empty table gives no sequence; of the
+documents only doc_id and text are read, and ``assign`` names its own columns
+around those of its input, so none can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, in_arrow, staged, table, utf8
+from docspark.llm.common import documents, free_name, in_arrow, staged, table, utf8, with_place
 from docspark.llm.tokens import encoder
 
 SIZE = 2048
@@ -91,13 +95,13 @@ def places(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def _seated(table: np.ndarray, columns: list[str]):
+def _seated(table: np.ndarray, columns: list[str], ranks: str):
     """Looks each piece's length and rank up in the plan, whose size only ``size`` bounds."""
     keys = (table[:, 0] << 44) | table[:, 1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "__rank"))
+            length, rank = (batch.column(c).to_numpy() for c in ("length", ranks))
             at = np.searchsorted(keys, (length << 44) | rank, side="right") - 1
             sequence = table[at, 2] + rank - table[at, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(table[at, 3])], names=[*columns, "sequence_id", "offset"])
@@ -111,18 +115,17 @@ def assign(found: DataFrame, size: int = SIZE) -> DataFrame:
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # ``size`` rows at most
     if not counts:
         return found.selectExpr("*", "0L AS sequence_id", "0L AS offset")
-    spark = found.sparkSession
-    buckets = spark.createDataFrame([(k, n // BUCKET + 1) for k, n in counts.items()], "length long, __of long")
-    dealt = found.join(F.broadcast(buckets), "length").withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), "__of")).drop("__of")
-    sizes = dealt.groupBy("length", "__bucket").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("length", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    row = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "start")) - 1
-    ranked = dealt.withColumn("__row", row).join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__row") + F.col("__before"))
-    columns = found.columns
-    ranked = ranked.select(*columns, "__rank")
+    spark, columns = found.sparkSession, found.columns
+    place, of, bucket, row, before, rank = free_name(columns, "place", "of", "bucket", "row", "before", "rank")
+    buckets = spark.createDataFrame([(k, n // BUCKET + 1) for k, n in counts.items()], f"length long, {of} long")
+    dealt = with_place(found, place).join(F.broadcast(buckets), "length").withColumn(bucket, F.pmod(place, of)).drop(of)
+    sizes = dealt.groupBy("length", bucket).count()
+    earlier = F.sum("count").over(Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("length", bucket, F.coalesce(earlier, F.lit(0)).alias(before))
+    number = F.row_number().over(Window.partitionBy("length", bucket).orderBy(place)) - 1
+    ranked = dealt.withColumn(row, number).join(sizes, ["length", bucket]).withColumn(rank, F.col(row) + F.col(before)).select(*columns, rank)
     schema = ", ".join(f"`{n}` {t}" for n, t in found.dtypes) + ", sequence_id long, offset long"
-    return ranked.transform(in_arrow, _seated(places(plan(counts, size)), columns), schema)
+    return ranked.transform(in_arrow, _seated(places(plan(counts, size)), columns, rank), schema)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = 0) -> DataFrame:
