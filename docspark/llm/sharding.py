@@ -10,7 +10,9 @@ order of the ring. The rows of an arc are taken in an order of their own hashes.
 Only counts of arcs, as many as the ring has points, are needed to settle who
 takes how many; every row then finds its shard by its rank in its arc. An
 arc is cut into stretches by hash, as many as its rows ask for, and ranks are
-counted within those, so that no task sorts an arc. Everything is DataFrame functions.
+counted within those, so that no task sorts an arc. A stretch that is still too
+large, as rows of equal content share one, is cut by the places of its staged
+rows. Everything is DataFrame functions.
 
 A further shard adds points and lowers the shares: rows move to it, and rows
 that had overflowed may move back or on; the rest stay.
@@ -19,9 +21,10 @@ Groups (equal texts) are not kept together: this law has to cut a group that
 is larger than a shard's share.
 
 Defined results: a null text has no bytes (size 8) and checksum 0; a null
-doc_id hashes like the empty string; repeated rows are rows of their own and
-get slots of their own; an empty table gives an empty table; only doc_id and
-the text are read, so other columns cannot clash.
+doc_id hashes like the empty string; a very long text counts one row like any
+other; repeated rows are rows of their own and get slots of their own, in no set
+order among themselves (ties); an empty table gives an empty table; only doc_id
+and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, staged, table
+from docspark.llm.common import documents, staged, table, with_place
 
 SHARDS = 24
 POINTS = 128
@@ -100,12 +103,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, text: str
         filled[s] += n
     segments = spark.createDataFrame(segments, "arc long, low long, high long, shard int, shift long")
     stretches = total // (len(at) * STRETCH) + 1
-    rows = rows.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(stretches)))
-    sizes = rows.groupBy("arc", "stretch").count()
-    before = F.sum("count").over(Window.partitionBy("arc").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("arc", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
-    row = F.row_number().over(Window.partitionBy("arc", "stretch").orderBy("place", "doc_id", "size", "text_crc32")) - 1
-    ranked = rows.withColumn("row", row).join(sizes, ["arc", "stretch"]).withColumn("rank", F.col("row") + F.col("before"))
+    rows = with_place(rows, "at").withColumn("stretch", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(stretches)))
+    large = rows.groupBy("arc", "stretch").count().where(F.col("count") > 2 * STRETCH).select("arc", "stretch", (F.col("count") / STRETCH).cast("long").alias("parts"))
+    rows = rows.join(large, ["arc", "stretch"], "left").withColumn("part", F.coalesce(F.pmod("at", "parts"), F.lit(0))).drop("parts")
+    key = ["arc", "stretch", "part"]
+    before = F.sum("count").over(Window.partitionBy("arc").orderBy("stretch", "part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(*key).count().select(*key, F.coalesce(before, F.lit(0)).alias("before"))
+    row = F.row_number().over(Window.partitionBy(*key).orderBy("place", "doc_id", "size", "text_crc32", "at")) - 1
+    ranked = rows.withColumn("row", row).join(sizes, key).withColumn("rank", F.col("row") + F.col("before"))
     seated = ranked.join(F.broadcast(segments), "arc").where("rank >= low AND rank < high")
     return seated.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
 
