@@ -16,9 +16,15 @@ of all words of the longest code's length, all blocks of a stretch in step.
 A file is written whole or not at all under a name given by its place in the
 order, so a task that is tried again leaves the same file.
 
-Defined results: a null or empty text is its end id alone; documents without
-doc_id come first; repeated rows are written as often as they come; an empty
-table gives no file and no row; other columns are not read.
+Files grow with the corpus, up to ``FILE_TOKENS`` ids (some 200 MB), once there
+are ``FILES`` of them for each core. The rows of one doc_id, or of none, may
+fall into several files.
+
+Defined results: a null or empty text is its end id alone; a very long one is
+written in many blocks; documents without doc_id come first; repeated rows are
+written as often as they come, in no set order among themselves (ties); an empty
+table gives no file and no row; only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -34,13 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, in_arrow, open_file, put_file, scratch, staged, table, utf8
+from docspark.llm.common import documents, in_arrow, open_file, put_file, scratch, staged, table, utf8, with_place
 from docspark.llm.tokens import encoder
 
 END = 2
 LIMIT = 18
 BLOCK = 512
-FILE_TOKENS = 1 << 22
+#: Ids of a file at most, ids from which there is another file for a core, and files for each core before files grow.
+FILE_TOKENS, LEAST_TOKENS, FILES = 1 << 27, 1 << 22, 4
 #: Ids that are coded at once (so that all steps stay in a core's cache), and decoded at once.
 CODED, DECODED = 1 << 17, 1 << 20
 MAGIC = b"HUFT"
@@ -280,8 +287,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, text: str = "
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
-    files = max(1, int(counts.sum()) // FILE_TOKENS)
-    ordered = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    total = int(counts.sum())
+    files = max(1, min(FILES * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_TOKENS), total // FILE_TOKENS)
+    ordered = with_place(tokens, "place").repartitionByRange(files, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return staged(ordered.transform(in_arrow, _written(code_lengths(counts), folder), WRITTEN), "manifest")
 
 
