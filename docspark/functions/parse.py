@@ -9,8 +9,9 @@ from docspark import dims
 from docspark.functions.text import digits_to_western, nonempty, normalize_numeric, normalize_text, squeeze, tokens
 
 ID = "[23][0-9]{13}"
-SERIAL = "[A-Z]{1,3}[0-9]{5,9}"
-_SEP = r"[\s/\-.]+"
+#: \d and \s of all scripts, as the rules have them.
+SERIAL = r"(?U)[A-Z]{1,3}\d{5,9}"
+_SEP = r"[\s\x1C-\x1F\x85\p{Z}/\-.]+"
 _YEAR = r"(19\d{2}|20\d{2})"
 _DM = r"(\d{1,2})"
 YMD, DMY = f"{_YEAR}{_SEP}{_DM}{_SEP}{_DM}", f"{_DM}{_SEP}{_DM}{_SEP}{_YEAR}"
@@ -31,7 +32,7 @@ def _iso(y: Column, m: Column, d: Column, plausible: Column) -> Column:
 
 def parse_dob(c: Column) -> Column:
     """The printed date as yyyy-mm-dd. Days are not held against the month's length."""
-    plain = F.regexp_replace(c, "[A-Z]{1,3}\\d{5,9}", "")
+    plain = F.regexp_replace(c, SERIAL, "")
     west = digits_to_western(plain)
     part = lambda pattern, k: F.regexp_extract(west, pattern, k)
     ymd = _iso(part(YMD, 1), part(YMD, 2), part(YMD, 3), part(YMD, 0) != "")

@@ -66,10 +66,12 @@ def transition(state: DataFrame, requests: DataFrame, reviewer: str = "admin", n
     """What becomes of each request (req, id, action, decision_note); of several on one id, the first by ``req`` counts.
 
     404 for no such record, 409 if it is not pending (or was decided by an
-    earlier request), 400 for a rejection without a reason.
+    earlier request), 400 for a rejection without a reason and for any other
+    action than approve and reject, a null one included.
     """
     rows = requests.join(state.select("id", "review_status"), "id", "left")
-    reason = (F.col("action") == "approve") | F.coalesce(F.trim(F.regexp_replace("decision_note", r"(?U)\s+", " ")) != "", F.lit(False))
+    note = F.coalesce(F.trim(F.regexp_replace("decision_note", r"(?U)\s+", " ")) != "", F.lit(False))
+    reason = F.coalesce((F.col("action") == "approve") | ((F.col("action") == "reject") & note), F.lit(False))
     done = (F.col("review_status") == "PENDING") & reason
     earlier = F.max(F.when(done, 1).otherwise(0)).over(Window.partitionBy("id").orderBy("req").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("taken", F.coalesce(earlier, F.lit(0)) == 1)

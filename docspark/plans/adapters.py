@@ -47,7 +47,7 @@ SELECT doc_id AS rec, CASE WHEN doc_id % 37 = 0 THEN NULL WHEN doc_id % 41 = 0 T
 FROM (SELECT doc_id, text AS t FROM documents) d"""
 
 VIEWS["dob_reads"] = f"""
-SELECT o_orderkey AS rec, CASE o_orderkey % 11
+SELECT o_orderkey AS rec, CASE o_orderkey % 14
   WHEN 0 THEN {_Y} || '/' || {_M} || '/' || {_D}
   WHEN 1 THEN {_D} || '/' || {_M} || '/' || {_Y}
   WHEN 2 THEN {_Y} || '-' || {_M2} || '-' || {_D2}
@@ -58,17 +58,22 @@ SELECT o_orderkey AS rec, CASE o_orderkey % 11
   WHEN 7 THEN '1990/13/45'
   WHEN 8 THEN translate({_Y} || '/' || {_M} || '/' || {_D}, '0123456789', '{dims.ARABIC_DIGITS}')
   WHEN 9 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE NULL END
+  WHEN 10 THEN 'AB' || translate({_Y} || {_M2} || {_D2}, '0123456789', '{dims.ARABIC_DIGITS}')
+  WHEN 11 THEN {_Y} || '\u00a0' || {_M} || '\u2003' || {_D}
+  WHEN 12 THEN 'AB' || translate(substr({_Y}, 1, 2) || {_M2} || '1', '0123456789', '{dims.PERSIAN_DIGITS}') || ' ' || {_D} || '-' || {_M} || '-' || {_Y}
   ELSE 'BR6325226' END AS raw
 FROM orders"""
 
 VIEWS["serial_reads"] = """
-SELECT p_partkey AS rec, CASE p_partkey % 7
+SELECT p_partkey AS rec, CASE p_partkey % 9
   WHEN 0 THEN 'IJ' || lpad(CAST(p_partkey AS STRING), 7, '0')
   WHEN 1 THEN ' br ' || lpad(CAST(p_partkey AS STRING), 6, '5') || ' '
   WHEN 2 THEN 'A1234'
   WHEN 3 THEN 'xx-ABCD' || lpad(CAST(p_partkey AS STRING), 11, '7')
   WHEN 4 THEN p_name
   WHEN 5 THEN ''
+  WHEN 6 THEN 'ij ' || translate(lpad(CAST(p_partkey AS STRING), 7, '0'), '0123456789', '٠١٢٣٤٥٦٧٨٩')
+  WHEN 7 THEN 'x' || translate(lpad(CAST(p_partkey AS STRING), 6, '9'), '0123456789', '०१२३४५६७८९')
   ELSE NULL END AS raw
 FROM part"""
 
@@ -140,7 +145,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 
 VIEWS["review_req"] = """
 SELECT event_id AS req, CASE WHEN event_id % 10 = 0 THEN -event_id ELSE user_id * 7 % 15000 END AS id,
-  CASE WHEN event_type IN ('error', 'signup') THEN 'reject' ELSE 'approve' END AS action,
+  CASE WHEN event_id % 13 = 5 THEN NULL WHEN event_id % 17 = 3 THEN 'escalate' WHEN event_type IN ('error', 'signup') THEN 'reject' ELSE 'approve' END AS action,
   CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '' ELSE 'blurred' END AS decision_note
 FROM events"""
 

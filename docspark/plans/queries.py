@@ -68,13 +68,13 @@ def q_pnid(x: str) -> str:
 
 
 def q_serial(x: str) -> str:
-    return f"coalesce(regexp_extract(replace(upper(trim({x})), ' ', ''), '[A-Z]{{1,3}}[0-9]{{5,9}}'), '')"
+    return f"coalesce(regexp_extract(replace(upper(trim({x})), ' ', ''), '[A-Z]{{1,3}}\\p{{Nd}}{{5,9}}'), '')"
 
 
 def q_dob(x: str) -> str:
-    plain = f"regexp_replace({x}, '[A-Z]{{1,3}}[0-9]{{5,9}}', '', 'g')"
+    plain = f"regexp_replace({x}, '[A-Z]{{1,3}}\\p{{Nd}}{{5,9}}', '', 'g')"
     west, z = q_west(plain), q_num(plain)
-    sep = "[\\s/\\-.]+"
+    sep = "[\\s\\p{Z}/\\-.]+"
     ymd, dmy = f"(19[0-9]{{2}}|20[0-9]{{2}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}})", f"([0-9]{{1,2}}){sep}([0-9]{{1,2}}){sep}(19[0-9]{{2}}|20[0-9]{{2}})"
     got = lambda p, k: f"regexp_extract({west}, '{p}', {k})"
     number = lambda s: f"try_cast({s} AS INTEGER)"
