@@ -43,13 +43,13 @@ def normalized_field(text: Column) -> Column:
     )
 
 
-def read_fields(fields: DataFrame, compatibility: bool = True) -> DataFrame:
+def read_fields(fields: DataFrame, compatibility: bool = True, ocr_ready: bool = True) -> DataFrame:
     """Adds status, issue and normalized; what was not read has neither text.
 
     Compatibility normalization, the one step in Python, runs once a row and
     only on texts that are prose.
     """
-    out = fields.withColumn("s", field_status()).select("*", "s.status", "s.issue").drop("s")
+    out = fields.withColumn("s", field_status(ocr_ready)).select("*", "s.status", "s.issue").drop("s")
     read = F.col("status").isin("EXTRACTED", "LOW_CONFIDENCE")
     out = out.withColumn("raw", F.when(read, F.col("raw")))
     prose = ~F.col("field_type").isin("numeric", "text")
@@ -129,9 +129,9 @@ def flattened(wide: DataFrame) -> DataFrame:
     )
 
 
-def assemble(fields: DataFrame, as_of: Column, compatibility: bool = True) -> DataFrame:
+def assemble(fields: DataFrame, as_of: Column, compatibility: bool = True, ocr_ready: bool = True) -> DataFrame:
     """Statuses, parsers, pivot, recoveries, checks and the flat record: one shuffle, by record."""
-    return flattened(verified(recovered(pivoted(read_fields(fields, compatibility))), as_of))
+    return flattened(verified(recovered(pivoted(read_fields(fields, compatibility, ocr_ready))), as_of))
 
 
 def fill_detections(localized: DataFrame, fields: DataFrame) -> DataFrame:

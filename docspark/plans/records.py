@@ -14,6 +14,7 @@ from docspark.plans.queries import as_of, q_address, q_dob, q_name, q_nid, q_nor
 from docspark.sinks import batch_map, dataset_split, sink_projection
 from docspark.sources import labels, uploads
 from docspark.vision import frames
+from docspark.vision.process import process
 
 QUERIES: dict[str, base.Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,6 +173,25 @@ def vision_localize(spark: SparkSession, d: str) -> DataFrame:
     return frames.localized(frames.drawn(table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"))))
 
 
+class Digits:
+    """A stand-in for a recognizer: wide images hold an id number, others a place, brighter ones for sure."""
+
+    def read(self, image):
+        return ("29904171700111" if image.shape[1] > 5 * image.shape[0] else "القاهرة شارع النيل"), 0.9 if image.mean() > 127 else 0.6
+
+
+_SEEN = lambda value: f"CASE WHEN n_nationkey % 7 <> 0 THEN {value} END"
+
+
+@query("process_images", f"""SELECT 'card_' || CAST(n_nationkey AS VARCHAR) || '.ppm' AS path, CASE WHEN n_nationkey % 7 = 0 THEN 'unreadable image' ELSE '' END AS errors, {_SEEN("'good'")} AS status, {_SEEN("'front'")} AS side, {_SEEN("'egy_id_front_v1'")} AS template, {_SEEN("'29904171700111'")} AS national_id,
+  {_SEEN("'29904171700111'")} AS full_name, {_SEEN("'29904171700111'")} AS address, {_SEEN("'1999-04-17'")} AS birth_date, {_SEEN("'male'")} AS gender, {_SEEN("'المنوفية'")} AS governorate, {_SEEN("FALSE")} AS review_national_id FROM nation""")
+def process_images(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn cards from pixels to records; unreadable ones are rows with an error."""
+    images = frames.drawn(table(spark, d, "nation").select(F.col("n_nationkey").alias("seed")))
+    out = process(images, as_of(), Digits, key="digits")
+    return out.select("path", F.array_join("errors", "; ").alias("errors"), "status", "side", "template", "national_id", "full_name", "address", "birth_date", "gender", "governorate", F.col("needs_review.national_id").alias("review_national_id"))
+
+
 # --- dimensions -----------------------------------------------------------------------------------
 
 _FIELDS_SQL = dims.values_sql([(t, side, i, f[0], f[5], f[6]) for t, side, fields in dims.TEMPLATES for i, f in enumerate(fields)], "template_id, side, ord, field, field_type, required")
@@ -375,7 +395,7 @@ def display_projection(spark: SparkSession, d: str) -> DataFrame:
     return review.display(view(spark, d, "review_state"))
 
 
-@query("review_transition", f"""WITH q AS (SELECT r.req, r.id, r.action, r.decision_note, s.review_status AS was, r.action = 'approve' OR trim(coalesce(r.decision_note, '')) <> '' AS reason FROM {v('review_req')} r LEFT JOIN {_STATE} s ON s.id = r.id),
+@query("review_transition", f"""WITH q AS (SELECT r.req, r.id, r.action, r.decision_note, s.review_status AS was, coalesce(r.action = 'approve' OR (r.action = 'reject' AND trim(coalesce(r.decision_note, '')) <> ''), FALSE) AS reason FROM {v('review_req')} r LEFT JOIN {_STATE} s ON s.id = r.id),
 t AS (SELECT *, coalesce(max(CASE WHEN was = 'PENDING' AND reason THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY req ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM q),
 u AS (SELECT *, CASE WHEN was IS NULL THEN 404 WHEN was <> 'PENDING' OR taken = 1 THEN 409 WHEN NOT reason THEN 400 ELSE 200 END AS status FROM t)
 SELECT req, id, status, CASE WHEN status = 200 THEN CASE WHEN action = 'approve' THEN 'ACCEPTED' ELSE 'REJECTED' END END AS review_status, CASE WHEN status = 200 THEN 'admin' END AS reviewed_by, CASE WHEN status = 200 THEN decision_note END AS decision_note FROM u""")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark import dims
 from docspark.functions import geometry
 from docspark.operators import detections
 from docspark.vision import image as im
+from docspark.vision.recognize import engine
 
 MEASURES = "path string, error string, width int, height int, blur_score double, brightness double, contrast double, glare_ratio double, photo_score double, barcode_score double, scale double"
 FIELDS = "path string, cls string, x int, y int, w int, h int, confidence double, crop_issues array<string>"
@@ -25,6 +29,12 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes |
             yield list(zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True))
 
 
+def card(image: np.ndarray) -> np.ndarray:
+    """The image as a full card of canonical size."""
+    small, _ = im.normalize(image)
+    return im.rectify(small, im.content_quad(small))
+
+
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in MEASURES.split(", ")]
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 7]
@@ -36,9 +46,8 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((path, "unreadable image", *[None] * 9))
                 continue
             m = im.measures(image)
-            small, scale = im.normalize(image)
-            card = im.rectify(small, im.content_quad(small))
-            rows.append((path, None, image.shape[1], image.shape[0], *m.values(), im.photo_score(card), im.barcode_score(card), scale))
+            whole, scale = card(image), min(dims.PROCESSING_MAX_DIM / max(image.shape[:2]), 4.0)
+            rows.append((path, None, image.shape[1], image.shape[0], *m.values(), im.photo_score(whole), im.barcode_score(whole), scale))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
@@ -53,24 +62,47 @@ def assessed(images: DataFrame, force_side: str | None = None) -> DataFrame:
     return out.withColumn("issues", F.when(readable, issues)).withColumn("status", F.when(readable, geometry.quality_status(F.col("issues")))).withColumn("side", F.when(readable, side))
 
 
-def _localized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in FIELDS.split(", ")]
-    types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.string())]
-    for part in _each(batches):
-        rows = []
-        for path, raw in part:
-            image = im.decode(raw)
-            if image is not None:
-                small, _ = im.normalize(image)
-                card = im.rectify(small, im.content_quad(small))
-                rows += [(path, f, x, y, w, h, c, im.crop_issues(card[y : y + h, x : x + w])) for f, x, y, w, h, c in im.localize(card)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
-def localized(images: DataFrame) -> DataFrame:
-    """The front fields of each readable image, apart from one another."""
-    found = images.select("path", "content").mapInArrow(_localized, FIELDS).withColumnRenamed("path", "rec")
+def placed(whole: np.ndarray, localizer: Any | None) -> list[tuple[str, int, int, int, int, float]]:
+    """Fields by their print; those that the localizer finds (cls, x, y, w, h, confidence) take their place, unless it fails."""
+    anchors = im.localize(whole)
+    if localizer is None:
+        return anchors
+    try:
+        found = [(c, int(x), int(y), int(w), int(h), float(p)) for c, x, y, w, h, p in localizer.boxes(whole)]
+    except Exception:  # whatever a model raises, the card still has its print
+        return anchors
+    best: dict[str, tuple[str, int, int, int, int, float]] = {}
+    for f in found:
+        if f[0] not in best or f[5] > best[f[0]][5]:
+            best[f[0]] = f
+    return [*best.values(), *(f for f in anchors if f[0] not in best)]
+
+
+def localized(images: DataFrame, localizer: Callable[[], Any] | None = None, key: str = "default") -> DataFrame:
+    """The front fields of each readable image, apart from one another.
+
+    ``localizer`` makes a model with ``boxes(card)`` in each worker; where it
+    cannot be made or fails, fields are found by their print alone.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in FIELDS.split(", ")]
+        types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.string())]
+        try:
+            model = engine(localizer, f"localizer {key}") if localizer else None
+        except Exception:
+            model = None
+        for part in _each(batches):
+            rows = []
+            for path, raw in part:
+                image = im.decode(raw)
+                if image is not None:
+                    whole = card(image)
+                    rows += [(path, f, x, y, w, h, c, im.crop_issues(whole[y : y + h, x : x + w])) for f, x, y, w, h, c in placed(whole, model)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    found = images.select("path", "content").mapInArrow(run, FIELDS).withColumnRenamed("path", "rec")
     return detections.resolve_overlaps(found).withColumnRenamed("rec", "path")
 
 

@@ -1,29 +1,101 @@
 """Image functions in numpy: decoding, scaling, quality, quads, rectification, block scores, field regions.
 
 Images are height x width x 3 arrays of bytes, blue first. Kernels of image
-libraries (area and cubic scaling, Lanczos, Otsu after blur) are replaced by
+libraries (area and cubic scaling, Lanczos) are replaced by
 plain numpy ones, so pixels may differ by rounding while the rules are the same.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 
 from docspark import dims
 
 
+#: Pixels as they are, after a line of planes (1, 3 or 4, blue first), width and height.
+_PLAIN = re.compile(rb"BGR([134]) (\d+) (\d+)\n")
+
+
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """A binary PGM or PPM of 8 bits; None for anything else, which is then a row with an error, not a failure."""
-    m = re.match(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s", raw or b"")
-    if not m:
+    """A PNG, a binary PGM or PPM of 8 bits, or plain pixels; None for anything else, which is then a row with an error, not a failure.
+
+    Pictures in files, JPEG among them, come as plain pixels from ``uploads.pictures``.
+    """
+    raw = raw or b""
+    if raw.startswith(b"\x89PNG\r\n\x1a\n"):
+        return _png(raw)
+    plain, m = _PLAIN.match(raw), re.match(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s", raw)
+    if plain:
+        planes, w, h, at = int(plain[1]), int(plain[2]), int(plain[3]), plain.end()
+    elif m:
+        planes, w, h, at = 3 if m[1] == b"6" else 1, int(m[2]), int(m[3]), m.end()
+    else:
+        return None
+    if not w * h or len(raw) - at < w * h * planes:
+        return None
+    pixels = np.frombuffer(raw, np.uint8, w * h * planes, at).reshape(h, w, planes)
+    if planes == 1:
+        return np.repeat(pixels, 3, axis=2)
+    return pixels[:, :, :3].copy() if plain else pixels[:, :, ::-1].copy()
+
+
+def _png(raw: bytes) -> np.ndarray | None:
+    """A PNG of 8 bits a sample that is not interlaced: gray, colour or palette, with or without alpha (which is dropped)."""
+    at, data, palette, header = 8, [], None, None
+    while at + 12 <= len(raw):
+        size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        part = raw[at + 8 : at + 8 + size]
+        header = part if kind == b"IHDR" else header
+        palette = np.frombuffer(part[: len(part) // 3 * 3], np.uint8).reshape(-1, 3) if kind == b"PLTE" else palette
+        if kind == b"IDAT":
+            data.append(part)
+        at += size + 12
+    if not header or len(header) < 13 or header[8] != 8 or header[12] or header[9] not in _SAMPLES or (header[9] == 3 and palette is None):
         return None
-    w, h, planes = int(m[2]), int(m[3]), 3 if m[1] == b"6" else 1
-    if not w * h or len(raw) - m.end() < w * h * planes:
+    w, h, planes = int.from_bytes(header[:4], "big"), int.from_bytes(header[4:8], "big"), _SAMPLES[header[9]]
+    try:
+        lines = zlib.decompress(b"".join(data))
+    except zlib.error:
         return None
-    pixels = np.frombuffer(raw, np.uint8, w * h * planes, m.end()).reshape(h, w, planes)
-    return pixels[:, :, ::-1].copy() if planes == 3 else np.repeat(pixels, 3, axis=2)
+    if not w * h or len(lines) < h * (w * planes + 1):
+        return None
+    lines = np.frombuffer(lines, np.uint8, h * (w * planes + 1)).reshape(h, -1)
+    out, above = np.empty((h, w, planes), np.uint8), np.zeros((w, planes), np.int64)
+    for y, line in enumerate(lines):
+        above = _unfiltered(line[0], line[1:].reshape(w, planes).astype(np.int64), above)
+        out[y] = above
+    if header[9] == 3:
+        return palette[np.minimum(out[:, :, 0], len(palette) - 1)][:, :, ::-1].copy()
+    return out[:, :, 2::-1].copy() if planes >= 3 else np.repeat(out[:, :, :1], 3, axis=2)
+
+
+#: Samples of a pixel by colour type.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A line of a PNG from what is stored of it and the line above."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return line.cumsum(axis=0) & 255
+    if kind == 2:
+        return (line + above) & 255
+    left, corner, out = np.zeros(line.shape[1], np.int64), np.zeros(line.shape[1], np.int64), np.empty_like(line)
+    for x in range(len(line)):
+        up = above[x]
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            p = left + up - corner
+            by = np.abs(np.stack([p - left, p - up, p - corner]))
+            guess = np.choose(by.argmin(axis=0), [left, up, corner])
+        left, corner = (line[x] + guess) & 255, up
+        out[x] = left
+    return out
 
 
 def encode(image: np.ndarray) -> bytes:
@@ -209,20 +281,31 @@ def otsu(g: np.ndarray) -> int:
     return int(np.nan_to_num(between).argmax())
 
 
-def number_strip(card: np.ndarray) -> tuple[int, int]:
-    """Top and bottom of the strip of digits."""
+def softened(g: np.ndarray) -> np.ndarray:
+    """By the five-tap binomial kernel both ways."""
+    for axis in (0, 1):
+        p = np.pad(g.astype(np.float64), [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if min(g.shape) > 2 else "edge")
+        g = sum(k * p.take(np.arange(i, i + g.shape[axis]), axis) for i, k in enumerate((1, 4, 6, 4, 1))) / 16
+    return np.rint(g).astype(np.uint8)
+
+
+def number_strip(card: np.ndarray) -> tuple[int, int, float]:
+    """Top, bottom and confidence of the strip of digits: around the middle of the rows with ink, else where it usually is."""
     h, w = card.shape[:2]
-    top, left = int(0.70 * h), int(0.33 * w)
-    region = gray(card)[top : int(0.89 * h), left:]
-    if not region.size:
-        return int(0.71 * h), int(0.88 * h)
-    rows = (region <= otsu(region)).sum(axis=1)
-    if not rows.max():
-        return int(0.71 * h), int(0.88 * h)
-    lines = np.flatnonzero(rows >= rows.max() * 0.15)
-    height = max(int(0.14 * h), int(len(lines) * 1.5))
-    y0 = max(top, min(int(0.74 * h), top + int(lines.mean()) - int(height * 0.45)))
-    return y0, min(int(0.89 * h), y0 + height)
+    window = slice(int(0.70 * h), int(0.89 * h))
+    digits = softened(gray(card)[window, int(0.33 * w) :]) if card[window, int(0.33 * w) :].size else np.zeros((0, 0), np.uint8)
+    per_row = (digits <= otsu(digits)).sum(axis=1) if digits.size else np.zeros(0, np.int64)
+    inked = np.flatnonzero(per_row >= per_row.max(initial=1) * 0.15)
+    height = max(int(0.14 * h), int(len(inked) * 1.5))
+    usual = int(0.71 * h), int(0.88 * h)
+    if not digits.size:
+        y0, y1, confidence = *usual, 0.75
+    elif not len(inked):
+        y0, y1, confidence = *usual, 0.85
+    else:
+        y0 = np.clip(window.start + int(inked.mean()) - int(height * 0.45), window.start, int(0.74 * h))
+        y1, confidence = min(window.stop, y0 + height), 0.95
+    return max(int(0.710 * h), int(y0)), min(int(0.880 * h), max(int(0.860 * h), int(y1))), confidence
 
 
 def runs(places: np.ndarray, gap: int, least: int) -> list[tuple[int, int]]:
@@ -234,6 +317,10 @@ def runs(places: np.ndarray, gap: int, least: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(firsts, lasts, strict=True) if b - a >= least]
 
 
+#: By lines of print: those of the name, margin of its end, distance from the middle between both, and how far down it may reach.
+_BLOCKS = {1: (1, 6, 0, 0.490), 2: (1, 4, 2, 1.0), 3: (2, 6, 0, 0.490)}
+
+
 def text_blocks(card: np.ndarray, start: int) -> dict[str, tuple[int, int]]:
     """Top and bottom of the name and of the address, by the lines of print below ``start``."""
     h, w = card.shape[:2]
@@ -245,47 +332,40 @@ def text_blocks(card: np.ndarray, start: int) -> dict[str, tuple[int, int]]:
     kernel = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * spread**2))
     smooth = np.convolve(np.pad(profile, size // 2, mode="reflect"), kernel / kernel.sum(), mode="valid")
     active = np.flatnonzero(smooth > max(20.0, float(np.percentile(smooth, 40))))
-    middle = min(int(0.460 * h), int(top + (low - top) * 0.45))
-    name, address = (top, middle), (middle, low)
-    lines = runs(active, 6, 8) if len(active) > 30 else []
-    if len(lines) >= 2:
-        k = 2 if len(lines) >= 3 else 1
-        end, begin = top + lines[k - 1][1], top + lines[k][0]
-        free = (end + begin) // 2
-        first = max(top, top + lines[0][0] - 4)
-        if k == 2:
-            name = (first, min(int(0.490 * h), min(end + 6, free)))
-            address = (max(top + 1, min(begin - 6, free)), min(low, top + lines[-1][1] + 6))
-        else:
-            name = (first, min(end + 4, free - 2))
-            address = (max(top + 1, min(begin - 6, free - 2)), min(low, top + lines[1][1] + 4))
-    elif lines:
-        name = (max(top, top + lines[0][0] - 4), min(top + lines[0][1] + 6, int(0.490 * h)))
-        address = (name[1] + 2, low)
-    return {"name": name, "address": address}
+    lines = [(top + a, top + b) for a, b in runs(active, 6, 8)] if len(active) > 30 else []
+    if not lines:
+        middle = min(int(0.460 * h), int(top + (low - top) * 0.45))
+        return {"name": (top, middle), "address": (middle, low)}
+    # the name has one line, or two of three and more; what it leaves is the address
+    taken, pad, apart, most = _BLOCKS[min(len(lines), 3)]
+    end = lines[taken - 1][1]
+    name = max(top, lines[0][0] - 4), min(end + pad, int(most * h))
+    if len(lines) == taken:
+        return {"name": name, "address": (name[1] + 2, low)}
+    begin = lines[taken][0]
+    free = (end + begin) // 2 - apart
+    last = lines[-1 if taken == 2 else taken][1]
+    return {"name": (name[0], min(name[1], free)), "address": (max(top + 1, min(begin - 6, free)), min(low, last + pad))}
 
 
 def localize(card: np.ndarray) -> list[tuple[str, int, int, int, int, float]]:
     """The six front fields: name, x, y, w, h and confidence, before overlaps are parted."""
     h, w = card.shape[:2]
     start = header_bottom(card)
-    blocks, (n0, n1) = text_blocks(card, start), number_strip(card)
     left, right = int(0.33 * w), int(0.98 * w)
+    y0, y1, sure = number_strip(card)
     boxes = [
         ("photo", int(0.03 * w), int(0.05 * h), int(0.31 * w), int(0.67 * h), 0.98),
-        ("name", left, *_at(blocks["name"], right), 0.95),
-        ("address", left, *_at(blocks["address"], right), 0.95),
-        ("national_id", left, *_at((n0, n1), right), 0.95),
-        ("date_of_birth", int(0.03 * w), int(0.68 * h), int(0.35 * w), int(0.85 * h), 0.9),
-        ("serial_number", int(0.05 * w), int(0.85 * h), int(0.35 * w), int(0.98 * h), 0.9),
+        ("national_id", left, y0, right, y1, sure),
+        ("date_of_birth", int(0.03 * w), int(0.68 * h), int(0.35 * w), int(0.85 * h), 0.95),
+        ("serial_number", int(0.03 * w), int(0.85 * h), int(0.35 * w), int(0.98 * h), 0.95),
     ]
+    for field, (y0, y1) in text_blocks(card, start).items():
+        y0 = max(start, min(h - 1, y0))
+        boxes.append((field, left, y0, max(left + 10, right), max(y0 + 10, min(h, y1)), 0.95))
     return [(f, x0, y0, max(1, x1 - x0), max(1, y1 - y0), c) for f, x0, y0, x1, y1, c in boxes]
 
 
-def _at(rows: tuple[int, int], right: int) -> tuple[int, int, int]:
-    return rows[0], right, rows[1]
-
-
 def drawn_card(width: int = 856, height: int = 540, seed: int = 42) -> np.ndarray:
     """A card for tests: green header, portrait, lines of print, digits."""
     rng = np.random.default_rng(seed)

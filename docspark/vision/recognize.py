@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from docspark.vision import image as im
 from docspark.vision import variants
 
-CANDIDATES = "rec long, field string, field_type string, variant_ord int, variant string, cand_ord int, text string, confidence double, engine string"
+CANDIDATES = "field string, field_type string, variant_ord int, variant string, cand_ord int, text string, confidence double, engine string"
 _ENGINES: dict[Any, Any] = {}
 
 
@@ -87,7 +87,7 @@ def recognized(crops: DataFrame, make: Callable[[], Any], key: str = "default")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(make, key)
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string()]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string()]
         for batch in batches:
             rows = []
             for rec, field, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("rec", "field", "field_type", "content")), strict=True):
@@ -95,6 +95,8 @@ def recognized(crops: DataFrame, make: Callable[[], Any], key: str = "default")
                 for v, (name, image) in enumerate(variants.of(crop, variants.preprocessor(field, kind)).items()) if crop is not None else ():
                     rows += [(rec, field, kind, v, name, c, *found) for c, found in enumerate(candidates(e, image))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in CANDIDATES.split(", ")])
+                names = ["rec", *(c.split()[0] for c in CANDIDATES.split(", "))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [batch.column("rec").type, *types], strict=True)], names=names)
 
-    return crops.select("rec", "field", "field_type", "content").mapInArrow(run, CANDIDATES)
+    crops = crops.select("rec", "field", "field_type", "content")
+    return crops.mapInArrow(run, f"rec {crops.schema['rec'].dataType.simpleString()}, {CANDIDATES}")

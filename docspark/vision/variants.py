@@ -20,15 +20,8 @@ def evened(g: np.ndarray, size: int = 15) -> np.ndarray:
     return np.clip(np.rint(g * 255.0 / paper), 0, 255).astype(np.uint8)
 
 
-def softened(g: np.ndarray) -> np.ndarray:
-    for axis in (0, 1):
-        p = np.pad(g.astype(np.float64), [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        g = sum(k * p.take(np.arange(i, i + g.shape[axis]), axis) for i, k in enumerate((1, 4, 6, 4, 1))) / 16
-    return np.rint(g).astype(np.uint8)
-
-
 def sharpened(g: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(1.8 * g.astype(np.float64) - 0.8 * softened(softened(g))), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(1.8 * g.astype(np.float64) - 0.8 * im.softened(im.softened(g))), 0, 255).astype(np.uint8)
 
 
 def stretched(g: np.ndarray) -> np.ndarray:
@@ -61,8 +54,8 @@ def of(crop: np.ndarray, kind: str) -> dict[str, np.ndarray]:
         "otsu_thresh": lambda: parted(equalized(even)),
         "rgb_original": lambda: img[:, :, ::-1],
         "illum_norm": lambda: even,
-        "ink_isolated": lambda: stretched(np.minimum(even, softened(even))),
-        "denoised_norm": lambda: softened(even),
+        "ink_isolated": lambda: stretched(np.minimum(even, im.softened(even))),
+        "denoised_norm": lambda: im.softened(even),
         "rgb_minimal": lambda: img[:, :, ::-1],
         "contrast_norm": lambda: stretched(g),
         "clahe_only": lambda: equalized(g),
