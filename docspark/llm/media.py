@@ -55,7 +55,7 @@ from docspark.llm.graph import components
 CORNERS = 48
 SCALES = (1.0, 1.5, 2.25)
 PATCH = 13
-BITS, BAND, TABLES = 256, 48, 8
+BITS, BAND, TABLES = 256, 32, 8
 #: Bits in which two descriptors of a match may differ.
 DIFFER = 64
 INLIERS = 10
