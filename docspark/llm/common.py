@@ -47,6 +47,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_place(rows: DataFrame, name: str) -> DataFrame:
     """Staged rows with a number of their own: by the file's number and the row's place in it, whatever the rows hold."""
     file = F.col("_metadata.file_name")

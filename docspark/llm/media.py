@@ -6,10 +6,10 @@ brightness around it) and 256 binary tests turned to that direction. The two
 places of a test lie across the direction and away from the corner itself, where
 unrelated corners look alike.
 
-Descriptors meet in Hamming tables: ``TABLES`` bands of ``BAND`` bits that agree,
-joined by band. Two pictures are compared if two different corners of one meet
-corners of the other; they are linked if ``INLIERS`` matches of their descriptors
-agree on one turn, size and shift. Linked pictures form classes; images of equal
+Descriptors meet in Hamming tables: ``TABLES`` bands of ``BAND`` bits, joined by
+band, of which those meet that differ in ``MEET`` of all bits at most. Two pictures
+are compared if two different corners of one meet corners of the other; they are
+linked if ``INLIERS`` matches of their descriptors agree on one turn, size and shift. Linked pictures form classes; images of equal
 bytes are one picture from the start.
 
 Not all pairs of a group of copies are made. In buckets of ``LARGE`` pictures and
@@ -20,9 +20,10 @@ pair that shares two corners is missed. Each step is written out, so a lost
 executor repeats tasks and nothing else.
 
 What is lost: corners after the ``CORNERS`` strongest of a picture, so that a
-small part of a busy picture may keep too few; and matches none of whose bands
-agree. A band's bits bound how many unrelated pictures share a bucket, which
-grows with the square of their number: more pictures ask for more bits.
+small part of a busy picture may keep too few; and pictures without two matches
+that share a band and differ in ``MEET`` bits at most. A band's bits bound how many
+unrelated pictures share a bucket, which grows with the square of their number:
+more pictures ask for more bits. ``MEET`` keeps all but few of these from going on.
 
 There is no table of images among the inputs, so the query draws each vector of
 ``embeddings`` as a texture, the sum of fixed textures by its numbers (near
@@ -49,15 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import in_arrow, staged, table
+from docspark.llm.common import discard, in_arrow, staged, table
 from docspark.llm.graph import components
 
 CORNERS = 48
 SCALES = (1.0, 1.5, 2.25)
 PATCH = 13
 BITS, BAND, TABLES = 256, 32, 8
-#: Bits in which two descriptors of a match may differ.
-DIFFER = 64
+#: Bits in which two descriptors of a match may differ, and those that bring pictures together.
+DIFFER, MEET = 64, 40
 INLIERS = 10
 #: Pictures of a bucket from which they are compared with one of them before they meet one another, and how often.
 LARGE, ROUNDS = 16, 3
@@ -205,15 +206,31 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.tile(node, TABLES)), pa.array(np.tile(corner, TABLES))], names=["band", "node", "corner"])
 
 
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The descriptors of each picture as numbers of 64 bits."""
+    for batch in batches:
+        bits = batch.column("bits").to_pylist()
+        ends = np.cumsum([0] + [len(b) // 8 for b in bits]).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(bits), "<i8")))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), words], names=["node", "words"])
+
+
+#: 64-bit words of a descriptor.
+WORDS = [f"w{k}" for k in range(BITS // 64)]
+
+
 def meetings(pictures: DataFrame) -> DataFrame:
-    """Rows (band, node, corner, size): the buckets of two descriptors or more.
+    """Rows (band, node, corner, size, w0 to w3): the buckets of two descriptors or more, and the whole descriptors.
 
     The count of a band is made before the shuffle where it can be; a band that
     very many rows have is split by the skew-aware join.
     """
-    bands = pictures.select("node", "bits").transform(in_arrow, _bands, "band long, node long, corner short")
+    bits = pictures.select("node", "bits")
+    bands = bits.transform(in_arrow, _bands, "band long, node long, corner short")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    return bands.join(shared, "band")
+    words = bits.transform(in_arrow, _words, "node long, words array<long>")
+    word = [F.get("words", F.col("corner") * len(WORDS) + k).alias(w) for k, w in enumerate(WORDS)]
+    return bands.join(shared, "band").join(words, "node").select("band", "node", "corner", "size", *word)
 
 
 def _agreed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +261,7 @@ def compared(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
 def links(pictures: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all pictures (node, places, bits) that are linked."""
     met = staged(meetings(pictures), "meetings")
-    large, found = met.where(F.col("size") >= LARGE).drop("size"), None
+    large, found = met.where(F.col("size") >= LARGE), None
     classes = None
     for turn in range(ROUNDS):
         here = _classed(large, classes)
@@ -256,25 +273,37 @@ def links(pictures: DataFrame) -> DataFrame:
         found = new if found is None else found.unionByName(new)
         classes = staged(components(found), "roots")
     here = _classed(met, classes)
-    one, other = here.select("band", F.col("node").alias("u"), "corner", F.col("root").alias("p")), here.select("band", F.col("node").alias("v"), F.col("root").alias("q"))
-    rest = staged(compared(paired(one.join(other, "band").where("u < v AND p <> q").select("u", "v", "corner")), pictures), "links")
+    rest = staged(compared(paired(near(here)), pictures), "links")
+    discard(met)
     return found.unionByName(rest)
 
 
+def near(here: DataFrame) -> DataFrame:
+    """Pairs (u, v, corner of u) of different classes that share a bucket and differ in ``MEET`` bits at most."""
+    one = here.select("band", F.col("node").alias("u"), "corner", F.col("root").alias("p"), *WORDS)
+    other = here.select("band", F.col("node").alias("v"), F.col("root").alias("q"), *(F.col(w).alias(f"{w}_v") for w in WORDS))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_v"))) for w in WORDS), F.lit(0))
+    return one.join(other, (one["band"] == other["band"]) & F.expr("u < v AND p <> q") & (differ <= MEET)).select("u", "v", "corner")
+
+
 def _classed(met: DataFrame, classes: DataFrame | None) -> DataFrame:
     """The rows of ``met`` with the class of their picture so far."""
-    here = met.select("band", "node", "corner")
+    here = met.drop("size")
     return here.withColumn("root", F.col("node")) if classes is None else here.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def copies(images: DataFrame) -> DataFrame:
     """id, class_id (the least id of the class) and members (rows of the class) of each row of ``images`` (id, image)."""
-    rows = staged(images.select(F.col("id").cast("long").alias("id"), "image").transform(in_arrow, _described, DESCRIBED), "described")
+    described = staged(images.select(F.col("id").cast("long").alias("id"), "image").transform(in_arrow, _described, DESCRIBED), "described")
     # a node is a picture, known by a hash of its bytes; a null image is a node of its own
-    rows = rows.withColumn("node", F.when(F.col("content").isNotNull(), F.xxhash64("content")))
-    pictures = rows.where("node IS NOT NULL AND length(bits) > 0").groupBy("node").agg(F.min(F.struct("id", "places", "bits")).alias("x"))
-    root = components(links(staged(pictures.select("node", "x.places", "x.bits"), "pictures")))
-    rows = rows.select("id", "node").join(root, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    every = described.withColumn("node", F.when(F.col("content").isNotNull(), F.xxhash64("content")))
+    pictures = every.where("node IS NOT NULL AND length(bits) > 0").groupBy("node").agg(F.min(F.struct("id", "places", "bits")).alias("x"))
+    pictures = staged(pictures.select("node", "x.places", "x.bits"), "pictures")
+    rows = staged(every.select("id", "node"), "rows")
+    discard(described)
+    root = components(links(pictures))
+    discard(pictures)
+    rows = rows.join(root, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     named = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
     own = F.col("root").isNull()
     return rows.join(named, "root", "left").select("id", F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 1).otherwise(F.col("members")).cast("long").alias("members"))
