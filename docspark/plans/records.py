@@ -153,11 +153,21 @@ def valley(spark: SparkSession, d: str) -> DataFrame:
     return signals.valley(_pixels(spark, d), 64)
 
 
-@query("order_corners")
+_POINTS = "SELECT p_partkey AS rec, [{'x': p_partkey % 7 + 100.0, 'y': p_size + 0.0, 'i': 1}, {'x': p_partkey % 11 + 0.0, 'y': p_size + 80.0, 'i': 2}, {'x': p_partkey % 5 + 0.0, 'y': p_size % 3 + 0.0, 'i': 3}, {'x': p_partkey % 13 + 90.0, 'y': p_size + 70.0, 'i': 4}] AS p FROM part"
+_SIDE = "list_transform(list_sort(list_transform(h{0}, lambda c: {{'a': c.x, 'b': c.y, 'i': c.i}})), lambda c: {{'x': c.a, 'y': c.b}})"
+_BEND = lambda a, b, c: f"(g[{b}].x - g[{a}].x) * (g[{c}].y - g[{b}].y) - (g[{b}].y - g[{a}].y) * (g[{c}].x - g[{b}].x)"
+
+
+@query("order_corners", f"""WITH s AS (SELECT rec, p, list_transform(list_sort(list_transform(p, lambda c: {{'a': c.y, 'i': c.i, 'x': c.x}})), lambda c: {{'x': c.x, 'y': c.a, 'i': c.i}}) AS h FROM ({_POINTS}) z),
+t AS (SELECT rec, p, {_SIDE.format('[:2]')} AS top, {_SIDE.format('[3:]')} AS low FROM s), q AS (SELECT rec, p, [top[1], top[2], low[2], low[1]] AS g FROM t),
+m AS (SELECT rec, g, least({_BEND(1, 2, 3)}, {_BEND(2, 3, 4)}, {_BEND(3, 4, 1)}, {_BEND(4, 1, 2)}) < 0 AS crossed, list_transform(list_sort(list_transform(p, lambda c: {{'a': atan2(c.y - (p[1].y + p[2].y + p[3].y + p[4].y) / 4, c.x - (p[1].x + p[2].x + p[3].x + p[4].x) / 4), 'i': c.i, 'x': c.x, 'y': c.y}})), lambda c: {{'x': c.x, 'y': c.y}}) AS r FROM q),
+n AS (SELECT rec, CASE WHEN crossed THEN r ELSE g END AS g, CASE WHEN crossed THEN list_position(list_transform(r, lambda c: c.x + c.y), list_min(list_transform(r, lambda c: c.x + c.y))) ELSE 1 END AS f FROM m)
+SELECT rec, {', '.join(f"CAST(g[(f + {k - 2}) % 4 + 1].x AS DOUBLE) AS x{k}, CAST(g[(f + {k - 2}) % 4 + 1].y AS DOUBLE) AS y{k}" for k in (1, 2, 3, 4))} FROM n""")
 def order_corners(spark: SparkSession, d: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     corners = F.array(k % 7 + 100.0, size + 0.0, k % 11 + 0.0, size + 80.0, k % 5 + 0.0, size % 3 + 0.0, k % 13 + 90.0, size + 70.0)
-    return frames.ordered_corners(table(spark, d, "part").select(k.cast("long").alias("rec"), corners.alias("corners")))
+    quads = frames.ordered_corners(table(spark, d, "part").select(k.cast("long").alias("rec"), corners.alias("corners")))
+    return quads.select("rec", *(F.col("quad")[i].alias(f"{'xy'[i % 2]}{i // 2 + 1}") for i in range(8)))
 
 
 @query("vision_quality")
@@ -343,7 +353,7 @@ def sink_projection_(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "original_filename", "image_mime_type", "image_sha256", "national_id", "full_name", "birth_date", "gender", "governorate", "capture_quality", "ocr_model_version")
 
 
-@query("batch_map")
+@query("batch_map", f"""SELECT rec % 64 AS folder, '{{' || string_agg('"card_' || CAST(rec AS VARCHAR) || '.jpg":' || CAST(to_json({{'national_id': national_id, 'full_name': full_name, 'birth_date': birth_date}}) AS VARCHAR), ',' ORDER BY 'card_' || CAST(rec AS VARCHAR) || '.jpg') || '}}' AS records FROM {_FLAT} f GROUP BY rec % 64""")
 def batch_map_(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object of file names and records for each of some folders, as a batch writes it."""
     flat = _records(spark, d).select((F.col("rec") % 64).alias("folder"), F.concat(F.lit("card_"), F.col("rec"), F.lit(".jpg")).alias("name"), F.struct("national_id", "full_name", "birth_date").alias("record"))

@@ -14,7 +14,7 @@ FUNCTIONS = {
     "normalize_numeric(x STRING)": ("STRING", f"regexp_replace(coalesce({_WEST}, ''), '[^0-9]', '')"),
     "strip_tatweel(x STRING)": ("STRING", f"replace(x, '{dims.TATWEEL}', '')"),
     "nid_check_digit(z STRING)": ("INT", f"(11 - ({_TOTAL}) % 11) % 10"),
-    "parse_serial(x STRING)": ("STRING", "coalesce(regexp_extract(replace(upper(trim(x)), ' ', ''), '[A-Z]{1,3}[0-9]{5,9}', 0), '')"),
+    "parse_serial(x STRING)": ("STRING", "coalesce(regexp_extract(replace(upper(trim(x)), ' ', ''), '(?U)[A-Z]{1,3}\\\\p{Nd}{5,9}', 0), '')"),
     "consistency(a STRING, b STRING)": ("STRING", "CASE WHEN coalesce(a, '') = '' OR coalesce(b, '') = '' THEN 'INSUFFICIENT_EVIDENCE' WHEN a = b THEN 'MATCH' ELSE 'MISMATCH' END"),
     "two_pass(a STRING, b STRING)": ("STRING", "CASE WHEN a IS NULL OR b IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN a = b THEN 'AGREEMENT' ELSE 'DISAGREEMENT' END"),
     "stored_quality(s STRING)": ("STRING", "CASE s WHEN 'good' THEN 'GOOD' WHEN 'acceptable' THEN 'BORDERLINE' WHEN 'poor' THEN 'BAD' END"),

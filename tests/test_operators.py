@@ -110,6 +110,7 @@ def test_sinks(spark, tmp_path):
 
 def test_sql_functions(spark):
     sql.register_all(spark)
+    assert spark.sql("SELECT parse_serial('IJ٣٣٠٥٥٩٩')").first()[0] == "IJ٣٣٠٥٥٩٩"
     got = spark.sql("SELECT nid_check_digit('2990417170011'), normalize_numeric('٣-4'), parse_serial('ij 4086874'), two_pass('', ''), (SELECT count(*) FROM governorates)").first()
     assert tuple(got) == (1, "34", "IJ4086874", "AGREEMENT", 28)
 
