@@ -15,6 +15,7 @@ _SEP = r"[\s\x1C-\x1F\x85\p{Z}/\-.]+"
 _YEAR = r"(19\d{2}|20\d{2})"
 _DM = r"(\d{1,2})"
 YMD, DMY = f"{_YEAR}{_SEP}{_DM}{_SEP}{_DM}", f"{_DM}{_SEP}{_DM}{_SEP}{_YEAR}"
+TRAILING = r"[\s\d٠-٩]{4,}$"
 HEADER = "(?i)^(?:" + "|".join(dims.HEADER_PHRASES + dims.HEADER_WORDS) + r")[\s\-_/]*"
 
 
@@ -85,7 +86,7 @@ def parse_address(lines: Column, compatibility: bool = True) -> Column:
     text = normalize_text(joined, compatibility)
     for phrase in dims.ADDRESS_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(" "))
-    text = F.trim(F.regexp_replace(text, r"[\s\d٠-٩]{4,}$", ""))
+    text = F.trim(F.regexp_replace(text, TRAILING, ""))
     kept = F.filter(tokens(text), lambda w: ((F.length(w) > 1) | w.isin("و", "ش")) & ~w.isin(dims.ADDRESS_TOKENS))
     return F.array_join(kept, " ")
 

@@ -31,13 +31,13 @@ def strip_tatweel(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
+def nfkc_in_python(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(c: Column) -> Column:
     """Compatibility normalization; ASCII, which it cannot change, does not go through Python."""
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.coalesce(nfkc_in_python(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def squeeze(c: Column) -> Column:
