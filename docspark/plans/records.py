@@ -177,6 +177,13 @@ def vision_quality(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", "error", "width", "height", r("brightness", 3).alias("brightness"), "issues", "status", F.col("side.side").alias("side"))
 
 
+@query("card_corners", "SELECT n_nationkey AS seed, TRUE AS found, TRUE AS sure FROM nation")
+def card_corners(spark: SparkSession, d: str) -> DataFrame:
+    """Cards drawn on desks: corners within 4 % of the picture's width of those drawn (1 % is the margin that is added)."""
+    out = frames.found_on_desks(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("seed")))
+    return out.select("seed", (F.col("off") < 0.04).alias("found"), (F.col("score") > 0.8).alias("sure"))
+
+
 @query("vision_localize")
 def vision_localize(spark: SparkSession, d: str) -> DataFrame:
     """The fields of drawn cards, found by their print and parted from one another."""

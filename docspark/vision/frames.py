@@ -14,6 +14,7 @@ from docspark import dims
 from docspark.functions import geometry
 from docspark.operators import detections
 from docspark.vision import image as im
+from docspark.vision.contours import card_corners
 from docspark.vision.recognize import engine
 
 MEASURES = "path string, error string, width int, height int, blur_score double, brightness double, contrast double, glare_ratio double, photo_score double, barcode_score double, scale double"
@@ -30,9 +31,9 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes |
 
 
 def card(image: np.ndarray) -> np.ndarray:
-    """The image as a full card of canonical size."""
+    """The card of the image, by its corners, at canonical size."""
     small, _ = im.normalize(image)
-    return im.rectify(small, im.content_quad(small))
+    return im.rectify(small, card_corners(small)[0])
 
 
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,31 @@ def drawn(seeds: DataFrame) -> DataFrame:
     return seeds.select("seed").mapInArrow(_drawn, "path string, content binary")
 
 
+def _desk(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A drawn card on a desk, and its corners."""
+    x, y, w = 90 + seed % 7 * 10, 70 + seed % 5 * 12, 428 + seed % 4 * 20
+    h = round(w * dims.CANONICAL_HEIGHT / dims.CANONICAL_WIDTH)
+    desk = np.clip(np.array([60, 95, 150]) + np.random.default_rng(seed).normal(0, 4, (450, 640, 1)), 0, 255).astype(np.uint8)
+    desk[y : y + h, x : x + w] = im.drawn_card(w, h, seed)
+    return desk, np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], np.float64)
+
+
+def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        off, sure = [], []
+        for seed in batch.column("seed").to_pylist():
+            image, drawn = _desk(seed)
+            quad, score = card_corners(image)
+            off.append(float(np.abs(quad - drawn).max()) / image.shape[1])
+            sure.append(score)
+        yield pa.RecordBatch.from_arrays([batch.column("seed"), pa.array(off, pa.float64()), pa.array(sure, pa.float64())], names=["seed", "off", "score"])
+
+
+def found_on_desks(seeds: DataFrame) -> DataFrame:
+    """How far the corners that are found lie from those drawn, as a share of the picture's width, and how sure they are."""
+    return seeds.select("seed").mapInArrow(_found, "seed long, off double, score double")
+
+
 def _ordered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         quads = [im.order_corners(p).ravel().tolist() for p in batch.column("corners").to_pylist()]

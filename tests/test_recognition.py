@@ -26,11 +26,38 @@ def test_variants_follow_the_catalog():
     crop = im.drawn_card()[160:190, 380:800]
     for kind, names in dims.VARIANTS.items():
         made = variants.of(crop, kind)
-        assert list(made) == names and all(v.shape[0] >= 40 and v.dtype == np.uint8 for v in made.values())
+        assert list(made) == names and all(v.shape[0] >= variants.LEAST.get(kind, 30) and v.dtype == np.uint8 for v in made.values())
+        small = variants.of(crop[:1, :1], kind)
+        assert all(v.size for v in small.values())
     assert variants.preprocessor("address", "x") == "text" and variants.preprocessor("x", "numeric") == "digits" and variants.preprocessor("x", "y") == "text"
     assert set(np.unique(variants.of(crop, "serial")["otsu_thresh"])) <= {0, 255}
 
 
+def test_filters_by_plain_rules():
+    g = np.random.default_rng(4).integers(0, 256, (19, 23)).astype(np.uint8)
+    p = np.pad(g.astype(int), 1, mode="reflect")
+    want = [[min(255, max(0, 5 * p[y, x] - p[y - 1, x] - p[y + 1, x] - p[y, x - 1] - p[y, x + 1])) for x in range(1, 24)] for y in range(1, 20)]
+    assert variants.crisp(g).tolist() == want
+    # a patch at a time, pixel by pixel
+    q = np.pad(g.astype(float), 3, mode="reflect")
+    y, x, part = 9, 11, lambda a, b: q[a - 1 : a + 2, b - 1 : b + 2]
+    weights = {(a, b): np.exp(-((part(y + 3, x + 3) - part(a + 3, b + 3)) ** 2).mean() / 900) for a in range(y - 2, y + 3) for b in range(x - 2, x + 3)}
+    mean = sum(w * q[a + 3, b + 3] for (a, b), w in weights.items()) / sum(weights.values())
+    assert abs(int(variants.denoised(g, 30.0, 3, 5)[y, x]) - mean) <= 0.5
+    flat = np.full((40, 60), 90, np.uint8)
+    assert (variants.denoised(flat) == 90).all() and (variants.blurred(flat, 2.0).round(6) == 90).all()
+
+
+def test_local_equalization():
+    dim = np.random.default_rng(5).integers(100, 131, (64, 96)).astype(np.uint8)
+    soft, hard = variants.locally_equalized(dim, 2.0), variants.locally_equalized(dim, 40.0)
+    assert np.ptp(dim) < np.ptp(soft) < np.ptp(hard) and np.ptp(hard) > 200
+    # in the middle of a tile of odd size, its own map alone counts
+    odd = np.random.default_rng(6).integers(0, 256, (8 * 5, 8 * 7)).astype(np.uint8)
+    tile, got = odd[10:15, 14:21], variants.locally_equalized(odd, 1000.0)
+    assert got[12, 17] == round((tile <= odd[12, 17]).sum() * 255 / 35)
+
+
 def test_engines():
     image = np.full((60, 200, 3), 255, np.uint8)
     assert recognize.candidates(Lines(), image) == [("a b", 0.7, "paddleocr_multiline"), ("a", 0.6, "paddleocr"), ("b", 0.8, "paddleocr")]
