@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterable, Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark import dims
+
 
 def sink_projection(rows: DataFrame, model_version: str = "v1") -> DataFrame:
     """The stored columns of uploads joined to their flat records; a date that is none is stored as null."""
@@ -40,6 +48,41 @@ def dataset_split(key: Column, folds: int) -> Column:
     return F.when(key % folds == 0, "val").otherwise("train")
 
 
+def _put(path: Path, data: bytes) -> None:
+    """Whole or not at all, so a task that runs again puts the same file there."""
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    part.write_bytes(data)
+    os.replace(part, path)
+
+
+def write_dataset(rows: DataFrame, folder: str, folds: int = 5, suffix: str = "ppm") -> DataFrame:
+    """A training data folder of key, content (an image file) and lines (its labels); a row for each split with its number of images.
+
+    Each key, which must be unique, gives ``images/<split>/sample_<key>`` and a
+    file of labels beside it, written by the task that holds the row;
+    ``data.yaml`` names the classes. ``folder`` must be one that driver and
+    executors share. Rows without a key or an image are left out; null lines are
+    an image without labels.
+    """
+    root = Path(folder)
+    for kind in ("images", "labels"):
+        for split in ("train", "val"):
+            (root / kind / split).mkdir(parents=True, exist_ok=True)
+
+    def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, split, content, lines in zip(*(batch.column(c).to_pylist() for c in ("key", "split", "content", "lines")), strict=True):
+                _put(root / "images" / split / f"sample_{key}.{suffix}", content)
+                _put(root / "labels" / split / f"sample_{key}.txt", "\n".join(lines or []).encode())
+            yield pa.RecordBatch.from_arrays([batch.column("split")], names=["split"])
+
+    whole = rows.where("key IS NOT NULL AND content IS NOT NULL").select(F.col("key").cast("string").alias("key"), dataset_split(F.col("key"), folds).alias("split"), "content", "lines")
+    done = whole.mapInArrow(written, "split string").groupBy("split").agg(F.count("*").alias("images")).collect()  # two rows at most
+    names = "".join(f"  {i}: {c}\n" for i, c in enumerate(dims.CLASSES))
+    _put(root / "data.yaml", f"path: {root.resolve().as_posix()}\ntrain: images/train\nval: images/val\n\nnames:\n{names}".encode())
+    return rows.sparkSession.createDataFrame([tuple(r) for r in done], "split string, images long")
+
+
 def response(status: Column, message: Column, data: Column) -> Column:
     """The envelope of an answer."""
     return F.struct(status.alias("status"), message.alias("message"), data.alias("data"))

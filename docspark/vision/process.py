@@ -46,19 +46,23 @@ def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return images.select("path", "content").join(each, "path").mapInArrow(_cropped, CROPS)
 
 
-def process(images: DataFrame, as_of: Column, engine: Callable[[], Any] | None = None, force_side: str | None = None, localizer: Callable[[], Any] | None = None, key: str = "default") -> DataFrame:
+def process(images: DataFrame, as_of: Column, engine: Callable[[], Any] | None = None, force_side: str | None = None, localizer: Callable[[], Any] | None = None, key: str = "default", barcode_reader: Callable[[], Any] | None = None) -> DataFrame:
     """path, errors, quality and side of each image, and its flat record.
 
     ``engine`` and ``localizer`` make what reads texts and finds fields, in the
     workers; without an engine all fields that have text are failed as
     unavailable, without a localizer (or where it fails) fields are found by
-    their print. ``force_side`` is the side of all cards, "front" or "back".
+    their print; without a ``barcode_reader`` barcodes are seen, not read.
+    ``force_side`` is the side of all cards, "front" or "back".
     """
     seen = frames.assessed(images, force_side)
     sided = seen.where("error IS NULL AND side.side <> 'unknown'").select("path")
     boxes = frames.localized(images.join(sided, "path", "left_semi"), localizer, key)
     cut = crops(images, boxes)
     reads = cut.select("rec", "field", "field_type", F.col("confidence").alias("localization_confidence"), "crop_empty", F.lit(False).alias("decoded"))
+    if barcode_reader is not None:
+        codes = recognize.barcodes(cut.where("field_type = 'barcode' AND NOT crop_empty"), barcode_reader, key).where("status = 'barcode_decoded'")
+        reads = reads.drop("decoded").join(codes.select("rec", "field", F.lit(True).alias("decoded")), ["rec", "field"], "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
     if engine is None:
         none = F.lit(None)
         fields = reads.select("*", none.cast("string").alias("raw"), none.cast("double").alias("ocr_confidence"), F.lit(False).alias("has_candidate"))

@@ -100,3 +100,44 @@ def recognized(crops: DataFrame, make: Callable[[], Any], key: str = "default")
 
     crops = crops.select("rec", "field", "field_type", "content")
     return crops.mapInArrow(run, f"rec {crops.schema['rec'].dataType.simpleString()}, {CANDIDATES}")
+
+
+BARCODES = "field string, status string, payload string, symbology string"
+
+
+def barcode(reader: Any | None, crop: np.ndarray | None) -> tuple[str, str | None, str | None]:
+    """Status, payload and symbology of a crop; nothing is said to be in it that the reader did not find."""
+    if not im.barcode_present(crop):
+        return "barcode_not_detected", None, None
+    try:
+        found = list(reader.decode(crop)) if reader is not None else None
+    except Exception:  # a reader that fails leaves the code as seen, not read
+        found = None
+    if found is None:
+        return "barcode_detected", None, None
+    if not found or found[0][0] is None:
+        return "barcode_not_decoded", None, None
+    payload, symbology = found[0]
+    return "barcode_decoded", payload.decode("utf-8", "replace") if isinstance(payload, bytes) else str(payload), symbology
+
+
+def barcodes(crops: DataFrame, make: Callable[[], Any] | None = None, key: str = "default") -> DataFrame:
+    """status, payload and symbology of each crop (rec, field, content).
+
+    ``make`` makes a reader with ``decode(image)``, giving (payload, symbology) of
+    each code, in each worker; without one, or where it cannot be made, codes are
+    seen but not read.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            reader = engine(make, f"barcode {key}") if make else None
+        except Exception:
+            reader = None
+        for batch in batches:
+            read = [barcode(reader, im.decode(raw)) for raw in batch.column("content").to_pylist()]
+            columns = [pa.array(c, pa.string()) for c in zip(*read, strict=True)] if read else [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), batch.column("field"), *columns], names=["rec", *(c.split()[0] for c in BARCODES.split(", "))])
+
+    crops = crops.select("rec", "field", "content")
+    return crops.mapInArrow(run, f"rec {crops.schema['rec'].dataType.simpleString()}, {BARCODES}")

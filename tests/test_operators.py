@@ -108,6 +108,22 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
 
 
+def test_dataset_of_images_and_labels(spark, tmp_path):
+    rows = [(i, f"image {i}".encode(), [f"{i % 9} 0.5 0.5 0.2 0.1", "8 0 0 1 0 1 1"]) for i in range(11)] + [(50, b"x", None), (51, None, ["0 0 0 1 1"]), (None, b"y", [])]
+    table = spark.createDataFrame(rows, "key long, content binary, lines array<string>").withColumn("__split", F.lit(1))
+    for _ in range(2):  # a second run puts the same files there
+        got = {r["split"]: r["images"] for r in sinks.write_dataset(table, str(tmp_path / "set")).collect()}
+        assert got == {"val": 4, "train": 8}
+        files = sorted(p.relative_to(tmp_path / "set").as_posix() for p in (tmp_path / "set").rglob("*") if p.is_file())
+        want = [f"{kind}/{'train' if k % 5 else 'val'}/sample_{k}.{end}" for kind, end in (("images", "ppm"), ("labels", "txt")) for k in [*range(11), 50]]
+        assert files == sorted([*want, "data.yaml"])
+    assert (tmp_path / "set/images/val/sample_5.ppm").read_bytes() == b"image 5" and (tmp_path / "set/labels/val/sample_50.txt").read_text() == ""
+    assert "  3: gender\n" in (tmp_path / "set/data.yaml").read_text()
+    read = labels.parsed(labels.scan(spark, str(tmp_path / "set/labels")))
+    assert read.count() == 22 and read.select("cls").distinct().count() == 9
+    assert sinks.write_dataset(table.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_sql_functions(spark):
     sql.register_all(spark)
     assert spark.sql("SELECT parse_serial('IJ٣٣٠٥٥٩٩')").first()[0] == "IJ٣٣٠٥٥٩٩"

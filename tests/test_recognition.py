@@ -87,6 +87,50 @@ def test_from_crops_to_the_best_candidate(spark):
     assert best == {1: ("a b", 0, 0), 2: ("b", 0, 2)}
 
 
+def bars():
+    crop = np.full((40, 120, 3), 255, np.uint8)
+    crop[:, ::4], crop[:, 1::4] = 0, 0
+    return crop
+
+
+class Codes:
+    def __init__(self, *found):
+        self.found = found
+
+    def decode(self, image):
+        if not self.found:
+            raise RuntimeError("broken")
+        return [f for f in self.found if f]
+
+
+def test_barcode():
+    assert recognize.barcode(Codes((b"12", "CODE128")), np.full((9, 9, 3), 255, np.uint8)) == ("barcode_not_detected", None, None)
+    assert recognize.barcode(None, bars()) == recognize.barcode(Codes(), bars()) == ("barcode_detected", None, None)
+    assert recognize.barcode(Codes(None), bars()) == ("barcode_not_decoded", None, None)
+    assert recognize.barcode(Codes((b"12\xff", "CODE128"), ("3", "QR")), bars()) == ("barcode_decoded", "12\ufffd", "CODE128")
+    assert recognize.barcode(Codes(), None)[0] == "barcode_not_detected"
+
+
+def test_barcodes_of_crops(spark):
+    crops = spark.createDataFrame([("a", "barcode", im.encode(bars())), ("b", "barcode", b"no image"), ("c", "barcode", None)], "rec string, field string, content binary")
+
+    def make():  # made in the worker, which cannot import this file
+        class Reader:
+            def decode(self, image):
+                return [(b"77", "CODE128")]
+
+        return Reader()
+
+    def broken():
+        raise ImportError("no such library")
+
+    read = lambda m, k: {r["rec"]: (r["status"], r["payload"]) for r in recognize.barcodes(crops, m, k).collect()}
+    none = ("barcode_not_detected", None)
+    assert read(make, "made") == {"a": ("barcode_decoded", "77"), "b": none, "c": none}
+    assert read(broken, "broken") == read(None, "none") == {"a": ("barcode_detected", None), "b": none, "c": none}
+    assert recognize.barcodes(crops.limit(0), make, "made").count() == 0
+
+
 def test_newest_file(spark, tmp_path):
     import os
 
