@@ -17,6 +17,7 @@ from docspark.llm.simhash import op1_simhash
 from docspark.llm.substrings import op6_substring_dedup
 from docspark.llm.toxicity import op7_toxicity
 from docspark.llm.warc import op9_warc
+from docspark.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_media_copies": op10_media_copies,
+    "op11_whitening": op11_whitening,
     "op13_fill_middle": op13_fill_middle,
 }
 
