@@ -11,6 +11,7 @@ from docspark.llm.fill_middle import op13_fill_middle
 from docspark.llm.huffman import op3_token_files
 from docspark.llm.language import op8_language
 from docspark.llm.media import op10_media_copies
+from docspark.llm.near_vectors import op12_near_vectors
 from docspark.llm.packing import op4_packing
 from docspark.llm.sharding import op2_sharding
 from docspark.llm.simhash import op1_simhash
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_media_copies": op10_media_copies,
     "op11_whitening": op11_whitening,
+    "op12_near_vectors": op12_near_vectors,
     "op13_fill_middle": op13_fill_middle,
 }
 
