@@ -201,7 +201,10 @@ def _applied(model: Fit, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
         centred = np.array([[float(Fraction(v, model.n)) for v in row] for row in exact])
     k = len(model.values)
     live = model.values > 0
-    white = np.divide(centred @ model.components, np.sqrt(model.values), out=np.zeros((len(x), k)), where=live)
+    on = np.zeros((len(x), k))
+    for j in range(x.shape[1]):  # in one order, so that a row's last bit does not depend on its batch
+        on += centred[:, j : j + 1] * model.components[j]
+    white = np.divide(on, np.sqrt(model.values), out=np.zeros((len(x), k)), where=live)
     explained = np.divide(model.values, model.trace, out=np.zeros(k), where=live)
     times = np.repeat(np.arange(len(x)), k)
     column = lambda v, kind: pa.array(v, kind)
