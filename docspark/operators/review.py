@@ -69,7 +69,12 @@ def transition(state: DataFrame, requests: DataFrame, reviewer: str = "admin", n
     earlier request), 400 for a rejection without a reason and for any other
     action than approve and reject, a null one included.
     """
-    rows = requests.join(state.select("id", "review_status"), "id", "left")
+    asked = requests.select("req", "id", "action", "decision_note")
+    return decided(asked.join(state.select("id", "review_status"), "id", "left"), reviewer, now)
+
+
+def decided(rows: DataFrame, reviewer: str = "admin", now: Column | None = None) -> DataFrame:
+    """The same of requests that stand beside the status of their record (null for no record); further columns stay."""
     note = F.coalesce(F.trim(F.regexp_replace("decision_note", r"(?U)\s+", " ")) != "", F.lit(False))
     reason = F.coalesce((F.col("action") == "approve") | ((F.col("action") == "reject") & note), F.lit(False))
     done = (F.col("review_status") == "PENDING") & reason
@@ -77,10 +82,12 @@ def transition(state: DataFrame, requests: DataFrame, reviewer: str = "admin", n
     rows = rows.withColumn("taken", F.coalesce(earlier, F.lit(0)) == 1)
     code = F.when(F.col("review_status").isNull(), 404).when((F.col("review_status") != "PENDING") | F.col("taken"), 409).when(~reason, 400).otherwise(200)
     new = F.when(F.col("action") == "approve", "ACCEPTED").otherwise("REJECTED")
+    own = [c for c in rows.columns if c not in ("req", "id", "status", "action", "decision_note", "review_status", "taken")]
     return rows.withColumn("status", code).select(
         "req",
         "id",
         "status",
+        *own,
         F.when(F.col("status") == 200, new).alias("review_status"),
         F.when(F.col("status") == 200, F.lit(reviewer)).alias("reviewed_by"),
         F.when(F.col("status") == 200, now if now is not None else F.current_timestamp()).alias("reviewed_at"),

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 from docspark.plans import queries as fields
-from docspark.plans import records
+from docspark.plans import records, stores
 from docspark.plans.adapters import TABLES
 
-QUERIES = fields.QUERIES | records.QUERIES
-SQL = fields.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = fields.QUERIES | records.QUERIES | stores.QUERIES
+SQL = fields.ORACLE_SQL | records.ORACLE_SQL | stores.ORACLE_SQL
 
 
 def cell(x):
