@@ -164,6 +164,15 @@ SELECT p_partkey AS rec, CASE p_partkey % 5
   ELSE CAST(p_size % 9 AS STRING) || ' 0.02 0.98 0.25 0.125' END AS line
 FROM part"""
 
+#: Uploads as they arrive in four turns: all once, some again at once, some in the next turn, after sixteen or eight days, or late.
+VIEWS["arrivals"] = """
+SELECT CAST(arrival AS INT) AS arrival, ts, img FROM (
+  SELECT arrival, ts, img FROM (SELECT CAST(floor((day(ts) - 1) / 8) AS INT) AS arrival, ts, CAST(event_id AS STRING) || '|' || event_type || '|' || props AS img FROM events) a
+  UNION ALL SELECT CAST(floor((day(ts) - 1) / 8) AS INT) + CASE event_id % 20 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END,
+    ts + CASE event_id % 20 WHEN 1 THEN INTERVAL '1' HOUR WHEN 2 THEN INTERVAL '384' HOUR WHEN 3 THEN INTERVAL '192' HOUR ELSE INTERVAL '0' HOUR END,
+    CAST(event_id AS STRING) || '|' || event_type || '|' || props || CASE event_id % 20 WHEN 4 THEN '|late' ELSE '' END FROM events WHERE event_id % 20 < 5) x
+WHERE arrival < 4"""
+
 #: What differs between the engines: how text becomes bytes.
 _SPARK, _DUCK = {"{utf8}": ", 'utf-8'"}, {"{utf8}": ""}
 

@@ -10,6 +10,7 @@ from docspark.plans.adapters import view
 from docspark.plans.queries import v
 from docspark.sinks import shared
 from docspark.sinks.review_store import ReviewStore
+from docspark.streaming import dedup
 
 QUERIES: dict[str, base.Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +63,24 @@ def review_log_answers(spark: SparkSession, d: str) -> DataFrame:
     """What became of each of those requests."""
     _, answers = replayed(spark, d)
     return answers[0].unionByName(answers[1]).unionByName(answers[2]).select("req", "id", "status", "version")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+_TURNS = 4
+
+
+@query("stream_dedup", f"""WITH a AS (SELECT DISTINCT * FROM {v('arrivals')} x), t AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a GROUP BY arrival),
+w AS (SELECT a.*, date_trunc('millisecond', newest) - INTERVAL 96 HOUR AS mark FROM a JOIN t ON t.arrival = a.arrival), n AS (SELECT * FROM w WHERE mark IS NULL OR ts > mark),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY img ORDER BY arrival) AS seen FROM n)
+SELECT img, ts, sha256(img) AS content_sha256 FROM l WHERE seen IS NULL OR seen + INTERVAL 96 HOUR <= mark""")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads that come in four turns, each once within four days; every turn is a restart from the checkpoint."""
+    folder = shared.new_folder(spark, "stream")
+    rows = view(spark, d, "arrivals")
+    for turn in range(_TURNS):
+        rows.where(F.col("arrival") == turn).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        uploads = dedup.fresh(dedup.keyed(stream, F.col("img"), F.col("ts")), "96 hours")
+        dedup.ingest(uploads, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return dedup.ingested(spark, f"{folder}/out", uploads.schema).select("img", "ts", "content_sha256")
