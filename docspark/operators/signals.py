@@ -57,6 +57,11 @@ def evaluation(rows: DataFrame, total: int | None = None) -> DataFrame:
     ``rows``: rec, field, confidence and the boxes found (x, y, w, h) and true (tx, ty, tw, th).
     """
     overlap = geometry.iou(*(F.col(c) for c in ("x", "y", "w", "h", "tx", "ty", "tw", "th")))
-    n = rows.agg(F.count_distinct("rec")).scalar() if total is None else F.lit(total)
-    per = rows.groupBy("field").agg(F.count_distinct("rec").alias("detected"), F.avg("confidence").alias("mean_confidence"), F.avg(overlap).alias("mean_iou"))
-    return per.select("field", "detected", (F.col("detected") * 100.0 / n).alias("recall"), "mean_confidence", "mean_iou")
+    # records first, so that one shuffle by rec serves the distinct counts of fields and of all records
+    sums = {"confidence": F.col("confidence"), "iou": overlap}
+    each = rows.groupBy("rec", "field").agg(*(f(c).alias(f"{f.__name__}_{k}") for k, c in sums.items() for f in (F.sum, F.count)))
+    first = (F.row_number().over(Window.partitionBy("rec").orderBy("field")) == 1).cast("long")
+    per = each.withColumn("first", first).groupBy("field").agg(F.count("*").alias("detected"), *(F.sum(c).alias(c) for c in ("first", *(f"{f}_{k}" for k in sums for f in ("sum", "count")))))
+    n = F.sum("first").over(Window.partitionBy()) if total is None else F.lit(total)  # over a row for each field
+    mean = lambda k: F.try_divide(f"sum_{k}", f"count_{k}").alias(f"mean_{k}")
+    return per.select("field", "detected", (F.col("detected") * 100.0 / n).alias("recall"), mean("confidence"), mean("iou"))

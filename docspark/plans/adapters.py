@@ -164,6 +164,16 @@ SELECT p_partkey AS rec, CASE p_partkey % 5
   ELSE CAST(p_size % 9 AS STRING) || ' 0.02 0.98 0.25 0.125' END AS line
 FROM part"""
 
+_LINE = f"""SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS rec, 'c' || CAST(l_partkey % 9 AS STRING) AS cls, (l_orderkey % 8) * 100 + {_ROW} AS ord, l_suppkey AS s, l_discount AS d,
+  (l_partkey % 40) * 10.0E0 AS x, (l_partkey % 23) * 8.0E0 AS y, 120.0E0 + l_quantity * 8 AS w, 90.0E0 + l_quantity * 3 AS h FROM lineitem"""
+#: Boxes that are there; a class of its own has none that is found.
+VIEWS["eval_truth"] = f"SELECT rec, CASE WHEN ord % 100 = 5 THEN 'unseen' ELSE cls END AS cls, ord AS truth_ord, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM ({_LINE}) l WHERE ord % 2 = 1"
+#: Boxes that are found: near what is there, elsewhere, or twice; with many ties in their confidence.
+VIEWS["eval_found"] = f"""
+SELECT rec, CASE WHEN ord % 100 = 6 THEN 'made up' ELSE cls END AS cls, ord * 2 + twice AS det_ord, d * 10 - twice * 0.125E0 AS confidence,
+  x + (s % 11) * w / 40 - twice * 2 AS x0, y + (s % 7) * h / 50 AS y0, x + (s % 11) * w / 40 + w AS x1, y + (s % 7) * h / 50 + h + twice * 3 AS y1
+FROM (SELECT *, 0 AS twice FROM ({_LINE}) a UNION ALL SELECT *, 1 AS twice FROM ({_LINE}) b WHERE s % 3 = 0) l"""
+
 #: Uploads as they arrive in four turns: all once, some again at once, some in the next turn, after sixteen or eight days, or late.
 VIEWS["arrivals"] = """
 SELECT CAST(arrival AS INT) AS arrival, ts, img FROM (

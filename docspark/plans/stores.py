@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators import evaluation
 from docspark.plans import queries as base
 from docspark.plans.adapters import view
-from docspark.plans.queries import v
+from docspark.plans.queries import r, v
 from docspark.sinks import shared
 from docspark.sinks.review_store import ReviewStore
 from docspark.streaming import dedup
@@ -84,3 +85,28 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
         uploads = dedup.fresh(dedup.keyed(stream, F.col("img"), F.col("ts")), "96 hours")
         dedup.ingest(uploads, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return dedup.ingested(spark, f"{folder}/out", uploads.schema).select("img", "ts", "content_sha256")
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+_IOU = "CASE WHEN i > 0 THEN i / ((p.x1 - p.x0) * (p.y1 - p.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - i) ELSE 0 END"
+
+
+@query("eval_map", f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY rec, cls ORDER BY confidence DESC, det_ord) AS place FROM {v('eval_found')} f), t AS {v('eval_truth')},
+o AS (SELECT rec, cls, place, list({{'iou': iou, 'first': -truth_ord}}) AS near FROM (SELECT p.rec, p.cls, p.place, t.truth_ord, {_IOU} AS iou FROM (SELECT p.*, 1 AS one FROM p) p JOIN t ON t.rec = p.rec AND t.cls = p.cls,
+  LATERAL (SELECT greatest(0, least(p.x1, t.x1) - greatest(p.x0, t.x0)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0, t.y0)) AS i) x) y WHERE iou >= 0.5 GROUP BY rec, cls, place),
+q AS (SELECT p.rec, p.cls, p.place, p.confidence, p.det_ord, coalesce(o.near, []) AS near FROM p LEFT JOIN o ON o.rec = p.rec AND o.cls = p.cls AND o.place = p.place),
+g AS (SELECT q.*, k, list_max(list_filter(near, lambda c: c.iou >= (10 + k) / 20)) AS best, CAST([] AS BIGINT[]) AS taken FROM q, range(10) z(k) WHERE place = 1
+  UNION ALL SELECT q.*, g.k, list_max(list_filter(q.near, lambda c: c.iou >= (10 + g.k) / 20 AND NOT list_contains(g.taken, c.first) AND (g.best IS NULL OR c.first <> g.best.first))) AS best,
+  CASE WHEN g.best IS NULL THEN g.taken ELSE list_append(g.taken, g.best.first) END AS taken FROM g JOIN q ON q.rec = g.rec AND q.cls = g.cls AND q.place = g.place + 1),
+m AS (SELECT cls, k, CASE WHEN best IS NULL THEN 0 ELSE 1 END AS hit, confidence, rec, det_ord FROM g),
+n AS (SELECT *, sum(hit) OVER w / CAST(row_number() OVER w AS DOUBLE) AS prec FROM m WINDOW w AS (PARTITION BY cls, k ORDER BY confidence DESC, rec, det_ord ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT cls, k, hit, max(prec) OVER (PARTITION BY cls, k ORDER BY confidence, rec DESC, det_ord DESC ROWS UNBOUNDED PRECEDING) AS prec FROM n),
+a AS (SELECT cls, count(*) FILTER (WHERE k = 0) AS detections, sum(hit) FILTER (WHERE k = 0) AS hits, sum(hit * prec) FILTER (WHERE k = 0) AS a50, sum(hit * prec) / 10 AS a FROM e GROUP BY cls),
+c AS (SELECT cls, count(*) AS truths FROM t GROUP BY cls), k AS (SELECT cls FROM a UNION SELECT cls FROM c)
+SELECT k.cls, coalesce(detections, 0) AS detections, coalesce(truths, 0) AS truths, round(coalesce(a50, 0) / truths, 6) AS ap50, round(coalesce(a, 0) / truths, 6) AS ap50_95, round(coalesce(hits, 0) / truths, 6) AS found50
+FROM k LEFT JOIN a ON a.cls = k.cls LEFT JOIN c ON c.cls = k.cls""")
+def eval_map(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of each class, at an overlap of a half and over ten overlaps."""
+    out = evaluation.average_precision(view(spark, d, "eval_found"), view(spark, d, "eval_truth"))
+    return out.withColumns({c: r(c) for c in ("ap50", "ap50_95", "found50")})

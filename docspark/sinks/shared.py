@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
 
@@ -84,3 +84,10 @@ def put_new(spark: SparkSession, path: str, text: str) -> bool:
             return False
         raise
     return True
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, where several branches of a plan would compute them again."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
