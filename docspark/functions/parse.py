@@ -17,6 +17,9 @@ _DM = r"(\d{1,2})"
 YMD, DMY = f"{_YEAR}{_SEP}{_DM}{_SEP}{_DM}", f"{_DM}{_SEP}{_DM}{_SEP}{_YEAR}"
 TRAILING = r"[\s\d٠-٩]{4,}$"
 HEADER = "(?i)^(?:" + "|".join(dims.HEADER_PHRASES + dims.HEADER_WORDS) + r")[\s\-_/]*"
+_HEAD = HEADER.removeprefix("(?i)^")
+#: Six rounds of HEADER and a trim at once; spaces in front take the first round.
+HEADERS = f"(?i)^(?:(?:{_HEAD}){{1,6}}| +(?:{_HEAD}){{0,5}})"
 
 
 def parse_national_id(c: Column) -> Column:
@@ -55,16 +58,25 @@ def parse_gender(c: Column) -> Column:
     return F.when(text.contains(dims.MALE), "male").when(female, "female")
 
 
-def near(w: Column, keyword: Column, most: Column | int) -> Column:
+def near(w: Column, keyword: Column, most: int) -> Column:
     """Whether the edit distance is at most ``most``; lengths that rule it out come first."""
-    return (F.abs(F.length(w) - F.length(keyword)) <= 2) & (F.levenshtein(w, keyword) <= most)
+    return (F.abs(F.length(w) - F.length(keyword)) <= most) & (F.levenshtein(w, keyword, most) >= 0)
+
+
+def edits(keyword: str) -> int:
+    """Edits that a reading of the word may have: one up to five letters, else two."""
+    return 1 if len(keyword) <= 5 else 2
 
 
 def is_header_token(w: Column, words: list[str] = dims.HEADER_TOKENS, keywords: list[str] = dims.HEADER_KEYWORDS) -> Column:
-    """One of ``words``, or near one of ``keywords`` (1 edit up to five letters, else 2)."""
+    """One of ``words``, or near one of ``keywords``."""
     fuzzy = F.lit(False)
     for k in keywords:
-        fuzzy = fuzzy | near(w, F.lit(k), 1 if len(k) <= 5 else 2)
+        fuzzy = fuzzy | near(w, F.lit(k), edits(k))
+    # what is near a keyword keeps all but ``edits`` of its letters, and letters beyond ASCII show in the number of bytes
+    letters = min((len(k) - edits(k) for k in keywords), default=0)
+    if not any(c.isascii() for k in keywords for c in k):
+        fuzzy = (F.octet_length(w) >= F.length(w) + letters) & fuzzy
     return (F.length(w) > 1) & (w.isin(words) | fuzzy)
 
 
@@ -72,11 +84,12 @@ def parse_name(c: Column, compatibility: bool = True) -> Column:
     text = normalize_text(c, compatibility)
     for phrase in dims.NAME_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(" "))
-    for _ in range(6):
-        text = F.trim(F.regexp_replace(text, HEADER, ""))
-    fixes = F.create_map(*[F.lit(x) for right, wrongs in dims.NAME_CORRECTIONS.items() for wrong in wrongs for x in (wrong, right)])
-    kept = F.filter(tokens(text), lambda w: ((F.length(w) > 1) | (w == "و")) & ~is_header_token(w))
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(fixes, w), w)), " ")
+    text = F.trim(F.regexp_replace(text, HEADERS, ""))
+    known = {wrong: right for right, wrongs in dims.NAME_CORRECTIONS.items() for wrong in wrongs}
+    fixes = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    # the text is normalized, so spaces alone part its words
+    kept = F.filter(F.split(text, " "), lambda w: ((F.length(w) > 1) | (w == "و")) & ~is_header_token(w))
+    return F.array_join(F.transform(kept, lambda w: F.when(w.isin(list(known)), F.try_element_at(fixes, w)).otherwise(w)), " ")
 
 
 def parse_address(lines: Column, compatibility: bool = True) -> Column:
@@ -87,7 +100,7 @@ def parse_address(lines: Column, compatibility: bool = True) -> Column:
     for phrase in dims.ADDRESS_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(" "))
     text = F.trim(F.regexp_replace(text, TRAILING, ""))
-    kept = F.filter(tokens(text), lambda w: ((F.length(w) > 1) | w.isin("و", "ش")) & ~w.isin(dims.ADDRESS_TOKENS))
+    kept = F.filter(F.split(text, " "), lambda w: ((F.length(w) > 1) | w.isin("و", "ش")) & ~w.isin(dims.ADDRESS_TOKENS))
     return F.array_join(kept, " ")
 
 

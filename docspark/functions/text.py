@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,11 @@ from pyspark.sql import types as T
 
 from docspark import dims
 
+_PLAIN = dict(zip(dims.ARABIC_DIGITS + dims.PERSIAN_DIGITS, "0123456789" * 2, strict=True)) | {dims.TATWEEL: ""}
+_ODD = re.compile(f"[{dims.ARABIC_DIGITS}{dims.PERSIAN_DIGITS}{dims.TATWEEL}]")
+#: Runs of noise and white space.
+BLANK = r"(?U)[\s" + dims.NOISE[1:]
+
 
 def nonempty(c: Column) -> Column:
     """Null in place of the empty string: both mean "not there"."""
@@ -40,6 +46,16 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(nfkc_in_python(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
+@F.pandas_udf(T.StringType())
+def folded_in_python(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _ODD.sub(lambda m: _PLAIN[m[0]], unicodedata.normalize("NFKC", t)))
+
+
+def folded(c: Column) -> Column:
+    """Compatibility normalization, western digits and no tatweel; ASCII, which none of it changes, stays in the JVM."""
+    return F.coalesce(folded_in_python(F.when(F.octet_length(c) > F.length(c), c)), c)
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -47,8 +63,8 @@ def squeeze(c: Column) -> Column:
 
 def normalize_text(c: Column, compatibility: bool = True) -> Column:
     text = F.coalesce(c, F.lit(""))
-    text = strip_tatweel(nfkc(text) if compatibility else text)
-    return squeeze(digits_to_western(F.regexp_replace(text, dims.NOISE, " ")))
+    text = folded(text) if compatibility else digits_to_western(strip_tatweel(text))
+    return F.trim(F.regexp_replace(text, BLANK, " "))
 
 
 def normalize_numeric(c: Column) -> Column:

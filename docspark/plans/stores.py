@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import evaluation
+from docspark import dims
+from docspark.operators import evaluation, words
 from docspark.plans import queries as base
-from docspark.plans.adapters import view
-from docspark.plans.queries import r, v
+from docspark.plans.adapters import table, view
+from docspark.plans.queries import q_words, r, v
 from docspark.sinks import shared
 from docspark.sinks.review_store import ReviewStore
 from docspark.streaming import dedup
@@ -110,3 +111,20 @@ def eval_map(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of each class, at an overlap of a half and over ten overlaps."""
     out = evaluation.average_precision(view(spark, d, "eval_found"), view(spark, d, "eval_truth"))
     return out.withColumns({c: r(c) for c in ("ap50", "ap50_95", "found50")})
+
+
+# --- words ----------------------------------------------------------------------------------------
+
+#: DuckDB counts edits in bytes, so letters beyond ASCII become single bytes that no word of the tables has.
+_BYTES = "translate({0}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '" + "".join(map(chr, (*range(1, 9), *range(14, 27)))) + "')"
+_LISTED = f"SELECT DISTINCT word, CASE WHEN length(word) <= 5 THEN 1 ELSE 2 END AS edits FROM (SELECT unnest({q_words('text')}) AS word FROM benchmark UNION ALL SELECT unnest({dims.HEADER_KEYWORDS!r}) AS word) w"
+
+
+@query("near_words", f"""WITH l AS ({_LISTED}), w AS (SELECT DISTINCT unnest({q_words("coalesce(text, '')")}) AS word FROM documents),
+b AS (SELECT word, {_BYTES.format('word')} AS x FROM w), c AS (SELECT word, edits, {_BYTES.format('word')} AS x FROM l)
+SELECT b.word, c.word AS near, levenshtein(b.x, c.x) AS distance FROM b JOIN c ON abs(length(b.word) - length(c.word)) <= c.edits WHERE levenshtein(b.x, c.x) <= c.edits""")
+def near_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents near the words of the benchmark and the header keywords: one edit up to five letters, else two."""
+    listed = words.distinct_words(table(spark, d, "benchmark"), "text").unionByName(spark.createDataFrame([(k,) for k in dims.HEADER_KEYWORDS], "word string"))
+    listed = listed.withColumn("edits", F.when(F.length("word") <= 5, 1).otherwise(2))
+    return words.near_words(words.distinct_words(table(spark, d, "documents"), "text"), listed)
