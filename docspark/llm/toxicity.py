@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.llm.boosting import Isotonic, Trees
-from docspark.llm.common import chunks, documents, in_arrow, staged, table, utf8
+from docspark.llm.common import chunks, documents, free_name, in_arrow, staged, table, utf8
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 9000
@@ -228,21 +229,21 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
     return Model(lexicon_of(counts.sum(axis=1), sizes.sum(axis=1), names), Trees().fit(x, y), Isotonic().fit(held, y))
 
 
-def _scored(model: Model, columns: list[str], text: str):
+def _scored(model: Model, columns: list[str], text: str, name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(model.lexicon)
         for batch in chunks(batches, text, CHUNK_BYTES):
             scores = model.score(utf8(batch.column(text)), known)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores)], names=[*columns, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores)], names=[*columns, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, *columns: str, text: str = "text") -> DataFrame:
-    """The columns named (all, if none is) and __score of each row, where the text is read."""
+def score(docs: DataFrame, model: Model, *columns: str, text: str = "text", name: str = "score") -> DataFrame:
+    """The columns named (all, if none is) and the score of each row, where the text is read; ``name`` must be free."""
     columns = list(columns or docs.columns)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + ", __score double"
-    return docs.select(*dict.fromkeys([*columns, text])).transform(in_arrow, _scored(model, columns, text), schema)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.select(*dict.fromkeys([*columns, text])).transform(in_arrow, _scored(model, columns, text, name), schema)
 
 
 def remainder(divisor: int) -> Column:
@@ -251,12 +252,12 @@ def remainder(divisor: int) -> Column:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, learned from all labels."""
-    model = fit(docs, labels)
-    return score(docs, model).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    (name,) = free_name(docs.columns, "score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"), "text")
     model = fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
     scored = score(docs, model, "doc_id")
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -23,8 +23,8 @@ def odd(spark):
         (10, "12 34 !! --", "en", "c", 11),
         (11, "solo", "en", "c", 4),
     ]
-    extra = [(*r, i, "x", "y", 0.5, [1], b"z") for i, r in enumerate(rows)]
-    return spark.createDataFrame(extra, DOCS + ", n_words long, fp string, shard string, score double, items array<int>, spans binary")
+    extra = [(*r, i, "x", "y", 0.5, [1], b"z", 0.25, i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(extra, DOCS + ", n_words long, fp string, shard string, score double, items array<int>, spans binary, __score double, __gone long")
 
 
 @pytest.fixture(scope="session")

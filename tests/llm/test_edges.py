@@ -104,11 +104,11 @@ def test_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, None), (None, 0, 1), (11, 0, 1), (11, 0, 0), (9, 1, 0)], LABELS)
     model = toxicity.fit(odd, labels)
     rows = toxicity.score(odd, model, "doc_id").collect()
-    assert len(rows) == odd.count() and all(0 <= r["__score"] <= 1 for r in rows)
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     for few in (labels.limit(0), labels.where("toxic = 0")):
-        assert {r["__score"] for r in toxicity.score(odd, toxicity.fit(odd, few), "doc_id").collect()} == {0.0}
+        assert {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, few), "doc_id").collect()} == {0.0}
     assert toxicity.score(none, model).count() == 0 and toxicity.fit(none, labels).trees is None
-    assert toxicity.kept(odd, labels.limit(0)).columns == odd.columns
+    assert toxicity.kept(odd, labels.limit(0)).columns == odd.columns and toxicity.kept(odd, labels.limit(0)).count() == odd.count()
 
 
 def test_language(odd, none):
