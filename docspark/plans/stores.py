@@ -10,8 +10,9 @@ from docspark.operators import evaluation, words
 from docspark.plans import queries as base
 from docspark.plans.adapters import table, view
 from docspark.plans.queries import q_words, r, v
-from docspark.sinks import shared
+from docspark.sinks import layout, shared
 from docspark.sinks.review_store import ReviewStore
+from docspark.sinks.search_index import SearchIndex
 from docspark.streaming import dedup
 
 QUERIES: dict[str, base.Query] = {}
@@ -128,3 +129,48 @@ def near_words(spark: SparkSession, d: str) -> DataFrame:
     listed = words.distinct_words(table(spark, d, "benchmark"), "text").unionByName(spark.createDataFrame([(k,) for k in dims.HEADER_KEYWORDS], "word string"))
     listed = listed.withColumn("edits", F.when(F.length("word") <= 5, 1).otherwise(2))
     return words.near_words(words.distinct_words(table(spark, d, "documents"), "text"), listed)
+
+
+# --- search and layout ----------------------------------------------------------------------------
+
+_STATE = v("review_state")
+_FOUND = "contains(lower(coalesce(full_name, '')), '0012') OR contains(lower(national_id), '0012') OR contains(lower(governorate), '0012')"
+
+
+@query("portal_search_indexed", f"SELECT id, national_id, full_name, governorate, review_status FROM {_STATE} s WHERE ({_FOUND}) AND upper(review_status) = 'PENDING'")
+def portal_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The portal's search from posting lists of trigrams; of the records only the buckets with candidates are read."""
+    state = view(spark, d, "review_state").select("id", "national_id", "full_name", "governorate", "review_status")
+    store = ReviewStore(spark, shared.new_folder(spark, "search")).create(state)
+    return SearchIndex(store).build().search(" 0012 ", "PENDING").select("id", "national_id", "full_name", "governorate", "review_status")
+
+
+_REGION = "CASE WHEN ascii(governorate) BETWEEN 65 AND 90 THEN ascii(governorate) - 65 ELSE 0 END"
+_STATUS = "CASE review_status WHEN 'PENDING' THEN 0 WHEN 'ACCEPTED' THEN 1 ELSE 2 END"
+_QUARTER = "coalesce((year(birth_date) - 1992) * 4 + quarter(birth_date) - 1, 0)"
+_Z = " + ".join(f"(((least(31, greatest(0, {c})) >> {k}) & 1) << {3 * k + 2 - i})" for i, c in enumerate((_REGION, _STATUS, _QUARTER)) for k in range(5))
+_COLUMNS = "id, full_name, governorate, review_status, birth_date"
+_PAGE = 500
+
+
+def _clustered(spark: SparkSession, d: str) -> str:
+    """All records in order of region (its first letter), status and quarter."""
+    path = shared.new_folder(spark, "clustered")
+    rows = view(spark, d, "review_state").select(*_COLUMNS.split(", "))
+    layout.write_clustered(rows, path, layout.z_order(F.expr(_REGION), F.expr(_STATUS), F.expr(_QUARTER)), group_bytes=1 << 16, file_rows=1 << 14)
+    return path
+
+
+@query("review_page", f"SELECT {_COLUMNS}, CAST(z AS BIGINT) AS z FROM (SELECT *, row_number() OVER (ORDER BY z, id) AS place FROM (SELECT *, {_Z} AS z FROM {_STATE} s) a) b WHERE place BETWEEN {_PAGE + 1} AND {2 * _PAGE}")
+def review_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of records in their stored order, asked for by the last row of the first one."""
+    path = _clustered(spark, d)
+    last = layout.page(spark, path, _PAGE).agg(F.max(F.struct("z", "id")).alias("k")).first()["k"]
+    return layout.page(spark, path, _PAGE, (last["z"], last["id"]) if last else None)
+
+
+@query("review_by_id_indexed", f"SELECT {_COLUMNS} FROM {_STATE} s WHERE id IN (SELECT max(id) FROM {_STATE} a UNION ALL SELECT min(id) FROM {_STATE} b UNION ALL SELECT -1)")
+def review_by_id_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last record by id, and one that is not there, through statistics and Bloom filters."""
+    ends = view(spark, d, "review_state").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    return layout.by_id(spark, _clustered(spark, d), *(i for i in (*ends, -1) if i is not None)).select(*_COLUMNS.split(", "))

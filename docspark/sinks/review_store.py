@@ -120,6 +120,12 @@ class ReviewStore:
         """All records as they are, or as they were after a commit."""
         return self._merged(self._snapshot(number))
 
+    def of(self, ids: DataFrame) -> DataFrame:
+        """The records of some ids (id), from the buckets that may hold them."""
+        at = self._snapshot()
+        buckets = sorted(r["b"] for r in ids.select(self._bucket(at["buckets"]).alias("b")).distinct().collect())  # a number for each bucket at most
+        return self._merged(at, [b for b in buckets if str(b) in at["places"]]).join(ids.select("id"), "id", "left_semi")
+
     def files(self) -> dict[int, list[str]]:
         """The state's files of each bucket."""
         at = self._snapshot()
