@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import dims
-from docspark.operators import evaluation, words
+from docspark.operators import evaluation, split, words
 from docspark.plans import queries as base
 from docspark.plans.adapters import table, view
 from docspark.plans.queries import q_words, r, v
-from docspark.sinks import layout, shared
+from docspark.plans.records import _FLAT, _records
+from docspark.sinks import layout, shared, sink_projection
 from docspark.sinks.review_store import ReviewStore
 from docspark.sinks.search_index import SearchIndex
+from docspark.sources import stored
 from docspark.streaming import dedup
 
 QUERIES: dict[str, base.Query] = {}
@@ -174,3 +176,29 @@ def review_by_id_indexed(spark: SparkSession, d: str) -> DataFrame:
     """The first and the last record by id, and one that is not there, through statistics and Bloom filters."""
     ends = view(spark, d, "review_state").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
     return layout.by_id(spark, _clustered(spark, d), *(i for i in (*ends, -1) if i is not None)).select(*_COLUMNS.split(", "))
+
+
+# --- stored JSON ----------------------------------------------------------------------------------
+
+_BROKEN = "id % 17 = 0 OR id % 19 = 3 OR id % 23 = 5"
+_SCALARS = ("national_id", "full_name", "birth_date", "gender", "governorate", "serial_number", "review_national_id")
+
+
+@query("record_variant", f"""SELECT id, NOT broken AS readable, {', '.join(f'CASE WHEN NOT broken THEN {c} END AS {c}' for c in _SCALARS)}, CASE WHEN NOT broken THEN nid_confidence END AS nid_confidence
+FROM (SELECT s.id, f.*, {_BROKEN.replace('id', 's.id')} AS broken FROM {v('review_state')} s JOIN {_FLAT} f ON f.rec = s.id) x""")
+def record_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Flat fields out of the JSON that is stored for each record; some of it is cut off, missing or no object."""
+    uploads = view(spark, d, "review_state").select("id", "original_filename", "image_mime_type", F.col("card_image").alias("content"), "capture_quality")
+    rows = sink_projection(uploads.join(_records(spark, d).withColumnRenamed("rec", "id"), "id"))
+    text = F.when(F.expr("id % 17 = 0"), F.expr("substr(ocr_result, 1, length(ocr_result) - 1)")).when(F.expr("id % 19 = 3"), None).when(F.expr("id % 23 = 5"), F.lit("[1, 2]")).otherwise(F.col("ocr_result"))
+    return stored.fields(rows.select("id", text.alias("ocr_result"))).select("id", "readable", *_SCALARS, r("nid_confidence", 4).alias("nid_confidence"))
+
+
+# --- splits ---------------------------------------------------------------------------------------
+
+
+@query("stratified_split", """SELECT doc_id, lang, CASE WHEN place <= n // 5 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n,
+  row_number() OVER (PARTITION BY lang ORDER BY sha256('split|' || CAST(doc_id AS VARCHAR))) AS place FROM documents) d""")
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the documents of each language, those of least hash."""
+    return split.stratified(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
