@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark import dims
-from docspark.operators import evaluation, split, words
+from docspark import dims, sql
+from docspark.operators import candidates, evaluation, split, words
 from docspark.plans import queries as base
 from docspark.plans.adapters import table, view
-from docspark.plans.queries import q_words, r, v
+from docspark.plans.queries import _READ as _LINES_READ
+from docspark.plans.queries import AS_OF_SQL, q_nid, q_words, r, v
 from docspark.plans.records import _FLAT, _records
 from docspark.sinks import layout, shared, sink_projection
 from docspark.sinks.review_store import ReviewStore
@@ -202,3 +203,36 @@ def record_variant(spark: SparkSession, d: str) -> DataFrame:
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     """A fifth of the documents of each language, those of least hash."""
     return split.stratified(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
+
+
+# --- SQL functions --------------------------------------------------------------------------------
+
+
+def _with_sql(spark: SparkSession, d: str) -> None:
+    sql.register_tables(spark, view(spark, d, "review_state").select("id", "national_id", "full_name", "governorate", "review_status"))
+
+
+@query("sql_portal_search", f"SELECT id, national_id, full_name, governorate, review_status FROM {_STATE} s WHERE ({_FOUND.replace('0012', '01')}) AND upper(review_status) = 'PENDING'")
+def sql_portal_search(spark: SparkSession, d: str) -> DataFrame:
+    """The portal's search as a function in SQL that gives a table."""
+    _with_sql(spark, d)
+    return spark.sql("SELECT * FROM portal_search(' 01 ', 'PENDING')")
+
+
+@query("sql_id_checks", f"""SELECT rec, place, part, CASE place WHEN 1 THEN status WHEN 2 THEN birth_date WHEN 3 THEN gender ELSE gov_name END AS value
+FROM {q_nid('(SELECT rec, raw FROM ' + v('id_reads') + ' r)', 'rec')} n, (VALUES (1, 'status'), (2, 'birth_date'), (3, 'gender'), (4, 'governorate')) p(place, part)""")
+def sql_id_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each part of each id number, by a function that is joined laterally."""
+    _with_sql(spark, d)
+    view(spark, d, "id_reads").createOrReplaceTempView("id_reads_now")
+    return spark.sql(f"SELECT r.rec, c.place, c.part, c.value FROM id_reads_now r, LATERAL id_checks(r.raw, {AS_OF_SQL}) c")
+
+
+@query("sql_combined", f"SELECT rec, field, variant_ord, string_agg(t, ' ' ORDER BY line_ord) AS text, round(avg(confidence), 6) AS confidence FROM ({_LINES_READ}) o GROUP BY 1, 2, 3")
+def sql_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in reading order folded into one reading with its mean confidence."""
+    _with_sql(spark, d)
+    lines = view(spark, d, "lines")
+    candidates.reading_order(lines.where(F.trim("text") != "").withColumn("text", F.trim("text"))).createOrReplaceTempView("lines_now")
+    rows = spark.sql("SELECT rec, field, variant_ord, combined(collect_list(named_struct('line_ord', line_ord, 'text', text, 'confidence', confidence))) AS c FROM lines_now GROUP BY ALL")
+    return rows.select("rec", "field", "variant_ord", "c.text", r("c.confidence").alias("confidence"))

@@ -7,7 +7,7 @@ for text that is not ASCII.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from docspark import dims
 from docspark.functions import parse, text
@@ -115,3 +115,40 @@ def register_all(spark: SparkSession) -> None:
     dims.templates(spark).createOrReplaceTempView("templates")
     dims.classes(spark).createOrReplaceTempView("classes")
     dims.variants(spark).createOrReplaceTempView("variants")
+
+
+#: Functions that give tables: signature, columns and body. ``reviewed`` is the view of stored records.
+TABLES = {
+    "portal_search(query STRING, wanted STRING)": (
+        "id BIGINT, national_id STRING, full_name STRING, governorate STRING, review_status STRING",
+        """SELECT r.id, r.national_id, r.full_name, r.governorate, r.review_status FROM reviewed r
+        WHERE (contains(lower(coalesce(r.full_name, '')), lower(trim(query))) OR contains(lower(coalesce(r.national_id, '')), lower(trim(query))) OR contains(lower(coalesce(r.governorate, '')), lower(trim(query))))
+        AND (wanted = 'ALL' OR upper(r.review_status) = wanted)""",
+    ),
+    "template_fields(wanted STRING)": ("ord INT, field STRING, field_type STRING, required BOOLEAN", "SELECT t.ord, t.field, t.field_type, t.required FROM templates t WHERE t.side = wanted"),
+    "id_checks(raw STRING, as_of DATE)": (
+        "place INT, part STRING, value STRING",
+        """SELECT k AS place, element_at(array('status', 'birth_date', 'gender', 'governorate'), k) AS part,
+        CASE k WHEN 1 THEN nid_status(raw, as_of) WHEN 2 THEN CASE WHEN nid_status(raw, as_of) <> 'INVALID_DATE' THEN CAST(nid_birth_date(normalize_numeric(raw)) AS STRING) END
+        WHEN 3 THEN CASE WHEN nid_status(raw, as_of) <> 'INVALID_DATE' THEN nid_gender(normalize_numeric(raw)) END
+        ELSE CASE WHEN nid_status(raw, as_of) <> 'INVALID_DATE' THEN governorate_name(nid_governorate_code(normalize_numeric(raw))) END END AS value FROM VALUES (1), (2), (3), (4) AS n(k)""",
+    ),
+}
+
+#: Folds of what ``collect_list`` gathers of a small group.
+FOLDS = {
+    "combined(found ARRAY<STRUCT<line_ord: INT, text: STRING, confidence: DOUBLE>>)": (
+        "STRUCT<text: STRING, confidence: DOUBLE>",
+        "named_struct('text', array_join(transform(array_sort(found), x -> x.text), ' '), 'confidence', aggregate(array_sort(found), 0.0D, (s, x) -> s + x.confidence) / nullif(size(found), 0))",
+    ),
+}
+
+
+def register_tables(spark: SparkSession, reviewed: DataFrame) -> None:
+    """The functions that give tables, and the folds, beside the scalar ones they call."""
+    register_all(spark)
+    reviewed.createOrReplaceTempView("reviewed")
+    for signature, (columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE ({columns}) RETURN {body}")
+    for signature, (kind, body) in FOLDS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
