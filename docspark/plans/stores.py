@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import dims, sql
-from docspark.operators import candidates, evaluation, split, words
+from docspark.operators import candidates, evaluation, sketches, split, words
 from docspark.plans import queries as base
 from docspark.plans.adapters import table, view
 from docspark.plans.queries import _READ as _LINES_READ
 from docspark.plans.queries import AS_OF_SQL, q_nid, q_words, r, v
-from docspark.plans.records import _FLAT, _records
+from docspark.plans.records import _FLAT, _pixels, _records
 from docspark.sinks import layout, shared, sink_projection
 from docspark.sinks.review_store import ReviewStore
 from docspark.sinks.search_index import SearchIndex
@@ -236,3 +236,22 @@ def sql_combined(spark: SparkSession, d: str) -> DataFrame:
     candidates.reading_order(lines.where(F.trim("text") != "").withColumn("text", F.trim("text"))).createOrReplaceTempView("lines_now")
     rows = spark.sql("SELECT rec, field, variant_ord, combined(collect_list(named_struct('line_ord', line_ord, 'text', text, 'confidence', confidence))) AS c FROM lines_now GROUP BY ALL")
     return rows.select("rec", "field", "variant_ord", "c.text", r("c.confidence").alias("confidence"))
+
+
+# --- sketches -------------------------------------------------------------------------------------
+
+_SHARES = (0.25, 0.5, 0.75)
+
+
+@query("profile_sketch", "SELECT label, share, count(*) * 64 AS n, min(list_min(embedding)) AS least, max(list_max(embedding)) AS most, TRUE AS within FROM embeddings, (VALUES (0.25), (0.5), (0.75)) s(share) GROUP BY label, share")
+def profile_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of the entries of each label, merged from sketches of two halves, held against their exact ranks."""
+    rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("half"), F.explode("embedding").alias("v"))
+    whole = sketches.merged(sketches.sketched(rows, "v", "label", "half"), "label")
+    found = sketches.quantiles(whole, *_SHARES, 0.0, 1.0)
+    asked = found.select("label", "n", F.col("quantiles")[3].alias("least"), F.col("quantiles")[4].alias("most"), F.explode(F.arrays_zip(F.array(*map(F.lit, _SHARES)).alias("share"), F.slice("quantiles", 1, 3).alias("q"))).alias("a"))
+    asked = asked.select("label", "n", "least", "most", "a.share", "a.q")
+    v = F.col("v").cast("double")
+    held = rows.join(asked, "label").groupBy("label", "n", "least", "most", "share").agg(F.avg((v < F.col("q")).cast("double")).alias("low"), F.avg((v <= F.col("q")).cast("double")).alias("high"))
+    slack = 2 * sketches.rank_error()
+    return held.select("label", "share", "n", "least", "most", F.col("share").between(F.col("low") - slack, F.col("high") + slack).alias("within"))
