@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark import dims, sql
 from docspark.operators import candidates, evaluation, sketches, split, words
 from docspark.plans import queries as base
+from docspark.plans import records
 from docspark.plans.adapters import table, view
 from docspark.plans.queries import _READ as _LINES_READ
 from docspark.plans.queries import AS_OF_SQL, q_nid, q_words, r, v
@@ -15,7 +16,7 @@ from docspark.plans.records import _FLAT, _pixels, _records
 from docspark.sinks import layout, shared, sink_projection
 from docspark.sinks.review_store import ReviewStore
 from docspark.sinks.search_index import SearchIndex
-from docspark.sources import stored
+from docspark.sources import labels, stored, training
 from docspark.streaming import dedup
 
 QUERIES: dict[str, base.Query] = {}
@@ -255,3 +256,21 @@ def profile_sketch(spark: SparkSession, d: str) -> DataFrame:
     held = rows.join(asked, "label").groupBy("label", "n", "least", "most", "share").agg(F.avg((v < F.col("q")).cast("double")).alias("low"), F.avg((v <= F.col("q")).cast("double")).alias("high"))
     slack = 2 * sketches.rank_error()
     return held.select("label", "share", "n", "least", "most", F.col("share").between(F.col("low") - slack, F.col("high") + slack).alias("within"))
+
+
+# --- training folders -----------------------------------------------------------------------------
+
+
+@query("training_folder", f"""SELECT CASE WHEN f % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'sample_' || CAST(f AS VARCHAR) AS name, line_no, cls, n, x0, y0, x1, y1
+FROM (SELECT rec, CAST(floor(rec / 40) AS BIGINT) AS f, row_number() OVER (PARTITION BY floor(rec / 40) ORDER BY rec) AS line_no FROM {v('label_lines')} l) a JOIN ({records.ORACLE_SQL['label_parse']}) p ON p.rec = a.rec""")
+def training_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of forty objects an image, written as a training folder and read back through the same data source."""
+    training.register(spark)
+    folder = shared.new_folder(spark, "training")
+    key = F.floor(F.col("rec") / 40).cast("long")
+    lines = view(spark, d, "label_lines").groupBy(key.alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rec", "line"))), lambda x: x["line"]).alias("lines"))
+    rows = lines.select("key", F.when(F.col("key") % 5 == 0, "val").otherwise("train").alias("split"), F.lit(b"P6 1 1 255 ").alias("content"), "lines")
+    rows.write.format(training.NAME).mode("append").save(folder)
+    found = labels.parsed(spark.read.format(training.NAME).load(folder))
+    at = lambda i: r(F.element_at("polygon", i), 5)
+    return found.select("split", "name", "line_no", "cls", "n", at(1).alias("x0"), at(2).alias("y0"), at(5).alias("x1"), at(6).alias("y1"))
