@@ -27,7 +27,9 @@ every shard; what goes is found by backward search over the words themselves:
    occurrences go.
 4. The reported intervals meet their documents and are cut out.
 
-An earlier place that very many spans claim is dealt with some of them to each
+Of an earlier document an index holds no more than ``REACH`` windows; a claim
+that goes further is cut there, and each of its windows is looked for in one
+index. An earlier place that very many spans claim is dealt with some of them to each
 of several shards (``SPLIT``). An anchor with very many different units (``HOT``)
 is dealt by whole windows, of which a task first removes the repeats it has
 itself, by an index of its own; a task that settles very many of them does not
@@ -69,6 +71,8 @@ SHARD_WORDS = 1 << 19
 UNITS_A_PARTITION = 400_000
 #: Words of later spans that one copy of an earlier place serves.
 SPLIT = 1 << 19
+#: Windows of an earlier document that one index holds at most: claims on longer ones are cut where these reaches end.
+REACH = 1 << 18
 #: Windows of a streamed piece.
 PIECE = 256
 #: Bytes of text to each partition of shards.
@@ -542,6 +546,16 @@ def _cut(columns: list[str], names: list[str], text: str, z: str, spans: str, pl
     return run
 
 
+def reached(claims: DataFrame) -> DataFrame:
+    """Claims cut by the reaches of the earlier document that they meet, each window in one of them."""
+    first, last = F.floor(F.col("at") / REACH), F.floor((F.col("at") + F.col("n") - 1) / REACH)
+    cut = claims.withColumn("reach", F.explode(F.sequence(first, last)))
+    low, high = F.greatest("at", F.col("reach") * REACH), F.least(F.col("at") + F.col("n"), (F.col("reach") + 1) * REACH)
+    types = {f.name: f.dataType for f in claims.schema.fields}
+    cut = cut.withColumns({"start": F.col("start") + low - F.col("at"), "n": high - low, "at": low})
+    return cut.withColumns({c: F.col(c).cast(types[c]) for c in ("start", "n", "at")})
+
+
 def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start, n: runs of n windows from word ``start`` that occur earlier."""
     docs = documents(docs, F.col(text).alias("text")).where("doc_id IS NOT NULL")
@@ -555,9 +569,10 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     asked = asked.select("doc_id", F.lit(UNIT).alias("kind"), F.col("anchor").alias("route"), "start", "n", "hot")
     # spans that may repeat an earlier place, each with as much of that place as its shard's spans claim
     claims = staged(settled.where("source IS NOT NULL").repartition(parts, "doc_id").transform(in_arrow, _continued, CLAIMED), "claims")
+    claims = reached(claims)
     words = F.sum(F.col("n") + WINDOW)
-    often = claims.groupBy("source").agg(words.alias("words")).where(F.col("words") > SPLIT).select("source", (F.col("words") / SPLIT).cast("long").alias("more"))
-    claims = claims.join(often, "source", "left").withColumn("route", F.xxhash64("source", F.pmod(F.xxhash64("doc_id"), F.coalesce("more", F.lit(0)) + 1)))
+    often = claims.groupBy("source", "reach").agg(words.alias("words")).where(F.col("words") > SPLIT).select("source", "reach", (F.col("words") / SPLIT).cast("long").alias("more"))
+    claims = claims.join(often, ["source", "reach"], "left").withColumn("route", F.xxhash64("source", "reach", F.pmod(F.xxhash64("doc_id"), F.coalesce("more", F.lit(0)) + 1)))
     later = claims.select("doc_id", F.lit(LATER).alias("kind"), "route", "start", "n", F.lit(False).alias("hot"))
     reach = claims.groupBy("route", "source").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("n")).alias("end"))
     earlier = reach.select(F.col("source").alias("doc_id"), F.lit(EARLIER).alias("kind"), "route", "start", (F.col("end") - F.col("start")).alias("n"), F.lit(False).alias("hot"))

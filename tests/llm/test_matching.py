@@ -104,3 +104,30 @@ def test_a_false_claim_is_turned_down():
     a, b = words_of(rng, 40, 1000), words_of(rng, 40, 1000)
     span = lambda d, w: (d, 0, 21, " ".join(w).encode())
     assert substrings.confirmed([span(1, a)], [span(2, b), span(3, a)]) == [(3, 0, 21)]
+
+
+def removed(spark, docs):
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], COLUMNS)
+    return {(r["doc_id"], i) for r in substrings.intervals(rows).collect() for i in range(r["start"], r["start"] + r["n"] + 19)}
+
+
+@pytest.mark.parametrize("reach", [7, 40, substrings.REACH])
+def test_claims_are_cut_by_reaches(spark, monkeypatch, reach):
+    """Passages of all lengths, some over several reaches, from a long document at both of its ends."""
+    monkeypatch.setattr(substrings, "REACH", reach)
+    rng = np.random.default_rng(8)
+    first = words_of(rng, 900, 4000)
+    docs = [(1, first), (2, words_of(rng, 30, 4000) + first[:130]), (3, first[-130:] + words_of(rng, 9, 4000)), (4, first[300:700]), (5, first), (6, first[10:31] * 3)]
+    assert removed(spark, docs) == brute(docs)
+
+
+def test_an_earlier_document_is_never_held_whole(spark, monkeypatch):
+    """Claims on both ends of a document do not bring what lies between them."""
+    claims = spark.createDataFrame([(2, 0, 128, 1, 0), (3, 5, 127, 1, 299_854), (4, 0, 600_000, 1, 100)], substrings.CLAIMED)
+    cut = substrings.reached(claims)
+    assert cut.select(*claims.columns).dtypes == claims.dtypes
+    reach = cut.groupBy("source", "reach").agg({"at": "min", "n": "max"}).collect()
+    assert all(r["max(n)"] <= substrings.REACH for r in reach) and len(reach) == 3
+    windows = lambda df: {(r["doc_id"], r["start"] + i, r["source"], r["at"] + i) for r in df.collect() for i in (*range(0, r["n"], 997), r["n"] - 1)}
+    assert sum(r["n"] for r in cut.collect()) == 128 + 127 + 600_000
+    assert {(d, s - a) for d, s, _, a in windows(cut)} == {(d, s - a) for d, s, _, a in windows(claims)}
