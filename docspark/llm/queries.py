@@ -36,8 +36,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_fill_middle": op13_fill_middle,
 }
 
-# The other operators need XXH64, a tokenizer, a trained model or pixels, which SQL does not have, or (sharding) a walk
-# around the ring; their tests hold them against brute force.
+# The other operators need XXH64, a tokenizer, a trained model, eigenvectors or pixels, which SQL does not have, or
+# (sharding) a walk around the ring; their tests hold them against brute force. The form of op12 compares all pairs.
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -63,6 +63,13 @@ SELECT page_id, strlen(html) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1(html), 5 * CAST(floor(k / 4) AS BIGINT) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p""",
+    "op12_near_vectors": """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda c: c IS NOT NULL AND isfinite(c))) = len(v) AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM f a JOIN f b ON b.vec_id <> a.vec_id AND len(b.v) = len(a.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS u, vec_id AS w FROM e UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
     "op13_fill_middle": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 d AS (SELECT *, len(w) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS g FROM t),

@@ -353,7 +353,7 @@ def test_pipeline(spark, sf, docs):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_duckdb_forms(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cursor = c.execute(ORACLE_SQL[name])
     columns = [x[0] for x in cursor.description]
