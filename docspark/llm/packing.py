@@ -42,17 +42,18 @@ def _pieces(path: str, end: int, size: int):
     last = end.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path).ids
+        memo = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                    raw = ids(text) + last
+                    raw = memo.ids(text) + last
                     n = len(raw) // 4
                     rows += [(doc, i, min(size, n - i), n, raw[4 * i : 4 * (i + size)]) for i in range(0, n, size)]
                 types = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+        memo.rest()
 
     return run
 

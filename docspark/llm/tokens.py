@@ -62,6 +62,12 @@ class Encoder(dict):
         found = self._direct(text) if self.direct and text.isalpha() and max(text) < "Ā" else self._encoded(text)
         return array("I", found).tobytes()
 
+    def rest(self) -> None:
+        """Forgets most of the memo, so that a worker does not hold it through what it does after."""
+        self.before = {}
+        if len(self) > MEMO // 4:
+            self.clear()
+
     def ids(self, text: bytes | None) -> bytes:
         if not text:
             return b""
