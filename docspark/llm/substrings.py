@@ -12,9 +12,9 @@ every shard; what goes is found by backward search over the words themselves:
 1. ``scan`` gives each window its anchor, the 8-word gram of least hash within
    it. Neighbouring windows with one anchor form a unit of at most 32 words.
    Equal windows have equal anchors. A task keeps the first of the equal units
-   it has itself and sends the later ones on as claims: this place may repeat
+   of each chunk and sends the later ones on as claims: this place may repeat
    that earlier one. So a passage that a third of all documents share reaches
-   the shuffle of units once a task.
+   the shuffle of units once a chunk of ``SCAN_BYTES``.
 2. ``settle`` meets equal units, dealt by their content, and makes claims of all
    but the first. The first ones meet those of their anchor, and are asked for if
    there are others. Claims that continue one another become one claim of a
