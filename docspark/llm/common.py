@@ -128,8 +128,8 @@ def filled(batch: pa.RecordBatch, name: str, value: int = 0) -> list[int]:
     return [value if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most ``most_bytes`` of one column, one row at least.
+def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int, row_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most ``most_bytes`` of one column, and ``row_bytes`` a row, one row at least.
 
     Small batches are put together, large ones are cut, so that what a task
     holds does not follow the size of its partition.
@@ -140,6 +140,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = 0
         for i, n in enumerate(sizes):
+            n += row_bytes
             if size and size + n > most_bytes:
                 if i > start:
                     held.append(batch.slice(start, i - start))

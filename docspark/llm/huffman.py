@@ -32,6 +32,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, in_arrow, open_file, put_file, scratch, staged, table, utf8, with_place
+from docspark.llm.common import chunks, documents, in_arrow, open_file, put_file, scratch, staged, table, utf8, with_place
 from docspark.llm.tokens import encoder
 
 END = 2
@@ -50,6 +51,8 @@ BLOCK = 512
 FILE_TOKENS, LEAST_TOKENS, FILES = 1 << 27, 1 << 22, 4
 #: Ids that are coded at once (so that all steps stay in a core's cache), and decoded at once.
 CODED, DECODED = 1 << 17, 1 << 20
+#: Bytes of texts whose words are looked up together.
+TEXTS = 8 << 20
 MAGIC = b"HUFT"
 
 
@@ -219,12 +222,11 @@ class Reader:
 
 def _tokenized(path: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, press, last = encoder(path).ids, zstandard.ZstdCompressor(1), end.to_bytes(4, "little")
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                packed = [press.compress(_narrow(ids(t) + last)) for t in utf8(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+        memo, press, last = encoder(path), zstandard.ZstdCompressor(1), end.to_bytes(4, "little")
+        for batch in chunks(batches, "text", TEXTS, 64):
+            ids, ends = memo.batch(utf8(batch.column("text")))
+            packed = [press.compress(_narrow(ids[a:b].tobytes() + last)) for a, b in pairwise([0, *ends.tolist()])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
