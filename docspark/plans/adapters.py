@@ -174,6 +174,9 @@ SELECT rec, CASE WHEN ord % 100 = 6 THEN 'made up' ELSE cls END AS cls, ord * 2
   x + (s % 11) * w / 40 - twice * 2 AS x0, y + (s % 7) * h / 50 AS y0, x + (s % 11) * w / 40 + w AS x1, y + (s % 7) * h / 50 + h + twice * 3 AS y1
 FROM (SELECT *, 0 AS twice FROM ({_LINE}) a UNION ALL SELECT *, 1 AS twice FROM ({_LINE}) b WHERE s % 3 = 0) l"""
 
+#: What settles the order of an order's lines, up to the last column that their boxes depend on.
+_SETTLES = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+
 #: Uploads as they arrive in four turns: all once, some again at once, some in the next turn, after sixteen or eight days, or late.
 VIEWS["arrivals"] = """
 SELECT CAST(arrival AS INT) AS arrival, ts, img FROM (
@@ -203,5 +206,29 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def eval_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``eval_found`` and ``eval_truth`` in the shape of ``evaluation.boxes``, dealt by rec in one pass over the lines.
+
+    Lines that are equal up to l_discount make the same boxes, so the columns behind it need not settle their order.
+    """
+    lines = table(spark, sf_dir, "lineitem").selectExpr("CAST(floor(l_orderkey / 8) AS BIGINT) AS rec", "l_orderkey", *_SETTLES).repartition("rec")
+    order = f"(l_orderkey % 8) * 100 + row_number() OVER (PARTITION BY rec, l_orderkey ORDER BY {', '.join(_SETTLES)}) AS ord"
+    rows = lines.selectExpr("rec", "'c' || CAST(l_partkey % 9 AS STRING) AS cls", order, "l_suppkey AS s", "l_discount AS d", "(l_partkey % 40) * 10.0E0 AS x", "(l_partkey % 23) * 8.0E0 AS y", "120.0E0 + l_quantity * 8 AS w", "90.0E0 + l_quantity * 3 AS h")
+    # -1: a box that is there
+    each = rows.selectExpr("*", "explode(array(-1, 0, 1)) AS twice").where("CASE twice WHEN -1 THEN ord % 2 = 1 WHEN 0 THEN TRUE ELSE s % 3 = 0 END")
+    either = lambda there, found, name: f"CASE WHEN twice < 0 THEN {there} ELSE {found} END AS {name}"
+    return each.selectExpr(
+        "rec",
+        either("CASE WHEN ord % 100 = 5 THEN 'unseen' ELSE cls END", "CASE WHEN ord % 100 = 6 THEN 'made up' ELSE cls END", "cls"),
+        "twice < 0 AS there",
+        either("NULL", "d * 10 - twice * 0.125E0", "confidence"),
+        either("ord", "ord * 2 + twice", "ord"),
+        either("x", "x + (s % 11) * w / 40 - twice * 2", "x0"),
+        either("y", "y + (s % 7) * h / 50", "y0"),
+        either("x + w", "x + (s % 11) * w / 40 + w", "x1"),
+        either("y + h", "y + (s % 7) * h / 50 + h + twice * 3", "y1"),
+    )
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ from docspark import dims, sql
 from docspark.operators import candidates, evaluation, sketches, split, words
 from docspark.plans import queries as base
 from docspark.plans import records
-from docspark.plans.adapters import table, view
+from docspark.plans.adapters import eval_boxes, table, view
 from docspark.plans.queries import _READ as _LINES_READ
 from docspark.plans.queries import AS_OF_SQL, q_nid, q_words, r, v
 from docspark.plans.records import _FLAT, _pixels, _records
@@ -114,7 +114,7 @@ SELECT k.cls, coalesce(detections, 0) AS detections, coalesce(truths, 0) AS trut
 FROM k LEFT JOIN a ON a.cls = k.cls LEFT JOIN c ON c.cls = k.cls""")
 def eval_map(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of each class, at an overlap of a half and over ten overlaps."""
-    out = evaluation.average_precision(view(spark, d, "eval_found"), view(spark, d, "eval_truth"))
+    out = evaluation.precision(eval_boxes(spark, d))
     return out.withColumns({c: r(c) for c in ("ap50", "ap50_95", "found50")})
 
 
